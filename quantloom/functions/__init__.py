@@ -1,7 +1,7 @@
 from .calendar import ceil_day_index, chunk_of, day_index, on_schedule, plus_days
-from .numeric import round_half_even, round_perp_price, round_size_up, significant_digits
+from .numeric import with_half_even, with_perp_price, with_size_up
 
 __all__ = [
     "ceil_day_index", "chunk_of", "day_index", "on_schedule", "plus_days",
-    "round_half_even", "round_perp_price", "round_size_up", "significant_digits",
+    "with_half_even", "with_perp_price", "with_size_up",
 ]

@@ -1,57 +1,66 @@
-"""Rounding rules for order sizes and prices, as column expressions."""
+"""Rounding rules for order sizes and prices.
 
-from __future__ import annotations
+Half-to-even rounding looks at the exact binary value of a double, as the float rounding of common languages does; SQL
+``bround`` looks at its shortest decimal text instead and differs on values such as 2.675. Each rule adds columns in
+several small projections. Every intermediate value is used more than once by the next, so none is computed twice and
+the generated code stays small.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the price rule.
 MAX_PRICE_DECIMALS = 6
 INTEGER_PRICE_ABOVE = 100_000
 PRICE_DIGITS = 5
-# Largest number of decimals an asset may name.
-MAX_SIZE_DECIMALS = 8
-
+# Powers of ten up to this one have at most 26 significant bits, which the exact product below relies on.
+MAX_DECIMALS = 11
+_SPLIT = float(2**27 + 1)
+_LARGEST = float(2**52)
 
-def _by_scale(value: Column, scale: Column, scales: range, rounded) -> Column:
-    # Spark's rounding functions take a constant scale only, hence one branch for each scale.
-    branches = [(scale == F.lit(s), rounded(value, s)) for s in scales]
-    first, *rest = branches
-    return reduce(lambda chain, b: chain.when(*b), rest, F.when(*first))
 
+def with_half_even(df: DataFrame, out: str, value: Column, decimals: Column) -> DataFrame:
+    """Adds ``out``: ``value`` rounded half to even at a per-row number of decimals; NULL decimals give NULL.
 
-def round_half_even(value: Column, decimals: Column) -> Column:
-    """Round half to even at a per-row number of decimals. NULL decimals give NULL.
-
-    A negative number of decimals occurs only in the price rule, for assets with more than six size decimals.
+    Decimals below zero, down to -2, are allowed; above eleven nothing is rounded. The value is split into two halves
+    whose products with the power of ten are exact, so its distance from the midpoint is known exactly.
     """
-    return _by_scale(value, decimals, range(MAX_PRICE_DECIMALS - MAX_SIZE_DECIMALS, MAX_SIZE_DECIMALS + 1),
-                     lambda v, s: F.bround(v, s))
-
-
-def significant_digits(value: Column, digits: int = PRICE_DIGITS) -> Column:
-    """``value`` at the given number of significant digits."""
-    return F.format_string(f"%.{digits - 1}e", value).cast("double")
-
+    a, m, c, n, h, d, s = (F.col(f"_{out}_{x}") for x in "amcnhds")
+    powers = F.array(*[F.lit(10.0**i) for i in range(MAX_DECIMALS + 1)])
+    up = ((d > 0) | ((d == 0) & (n % 2 == 1))).cast("double")
+    return (
+        df.withColumns({f"_{out}_a": F.abs(value), f"_{out}_v": value, f"_{out}_s": decimals})
+        .withColumns({f"_{out}_m": F.get(powers, s), f"_{out}_c": a * _SPLIT})
+        .withColumns({f"_{out}_h": c - (c - a), f"_{out}_n": F.floor(a * m).cast("double")})
+        .withColumns({f"_{out}_d": ((h * m - n) - 0.5) + (a - h) * m})
+        .withColumn(out, F.when(s == -1, F.bround(F.col(f"_{out}_v"), -1)).when(s == -2, F.bround(F.col(f"_{out}_v"), -2))
+                    .when((s > MAX_DECIMALS) | (a * m >= _LARGEST), F.col(f"_{out}_v"))
+                    .otherwise(F.signum(F.col(f"_{out}_v")) * ((n + up) / m)))
+        .drop(*[f"_{out}_{x}" for x in "amcnhdsv"])
+    )
 
-def round_size_up(notional: Column, price: Column, decimals: Column) -> Column:
-    """Smallest size at ``decimals`` whose value reaches ``notional``; 0 for a price that is not positive."""
-    step = F.pow(F.lit(10.0), -decimals)
-    raw = F.when(price > 0, F.try_divide(notional, price)).otherwise(0.0)
-    steps = F.ceil(raw / step)
-    return F.when(raw > 0, round_half_even(steps * step, decimals)).otherwise(F.lit(0.0))
 
+def with_size_up(df: DataFrame, out: str, notional: Column, price: Column, decimals: Column) -> DataFrame:
+    """Adds ``out``: smallest size at ``decimals`` whose value reaches ``notional``; 0 for a price that is not positive."""
+    step, raw = F.col(f"_{out}_step"), F.col(f"_{out}_raw")
+    sized = df.withColumns({
+        f"_{out}_step": F.pow(F.lit(10.0), -decimals),
+        f"_{out}_raw": F.when(price > 0, F.try_divide(notional, price)).otherwise(0.0)})
+    return with_half_even(sized, out, F.when(raw > 0, F.ceil(raw / step) * step).otherwise(0.0), decimals).drop(
+        f"_{out}_step", f"_{out}_raw")
 
-def round_perp_price(price: Column, size_decimals: Column) -> Column:
-    """Whole numbers above 100 000, else five significant digits and at most six decimals minus the size decimals.
 
-    Where the size decimals are unknown only the five digits apply.
+def with_perp_price(df: DataFrame, out: str, price: Column, size_decimals: Column) -> DataFrame:
+    """Adds ``out``: whole numbers above 100 000, else five significant digits and at most six decimals minus the size
+    decimals. Where the size decimals are unknown only the five digits apply.
     """
-    five = significant_digits(price)
-    return (
-        F.when(price > INTEGER_PRICE_ABOVE, F.bround(price, 0))
-        .when(size_decimals.isNull(), five)
-        .otherwise(round_half_even(five, F.lit(MAX_PRICE_DECIMALS) - size_decimals))
-    )
+    px, five = F.col(f"_{out}_px"), F.col(f"_{out}_five")
+    digits = F.when(px == 0, 0).otherwise(F.lit(PRICE_DIGITS - 1) - F.floor(F.log10(F.abs(px)))).cast("int")
+    # The five digits do not apply to a price above the limit, which is only made whole.
+    first = F.when(px > INTEGER_PRICE_ABOVE, 0).otherwise(digits)
+    known = F.lit(MAX_PRICE_DECIMALS) - size_decimals
+    second = F.when((px > INTEGER_PRICE_ABOVE) | size_decimals.isNull(), MAX_DECIMALS + 1).otherwise(known)
+    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first)
+    return with_half_even(once, out, five, second).drop(f"_{out}_px", f"_{out}_five")
