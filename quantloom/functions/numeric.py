@@ -62,5 +62,7 @@ def with_perp_price(df: DataFrame, out: str, price: Column, size_decimals: Colum
     first = F.when(px > INTEGER_PRICE_ABOVE, 0).otherwise(digits)
     known = F.lit(MAX_PRICE_DECIMALS) - size_decimals
     second = F.when((px > INTEGER_PRICE_ABOVE) | size_decimals.isNull(), MAX_DECIMALS + 1).otherwise(known)
-    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first)
+    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first).withColumn(
+        # Below 1e-7 five digits need more decimals than the exact rounding covers; there the text form decides.
+        f"_{out}_five", F.when(first > MAX_DECIMALS, F.format_string(f"%.{PRICE_DIGITS - 1}e", px).cast("double")).otherwise(five))
     return with_half_even(once, out, five, second).drop(f"_{out}_px", f"_{out}_five")
