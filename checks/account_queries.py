@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from quantloom.functions import with_size_up
+from quantloom.functions import with_half_even, with_size_up
 from quantloom.operators import fills as E
 from quantloom.operators import orders as O
 from quantloom.operators import portfolio as H
@@ -139,6 +139,10 @@ def targets(spark, d):
     return W.target_notionals(live_book(spark, d), T.accounts(spark, d), LEVERAGE).withColumnRenamed("id", "coin")
 
 
+def market(spark, d):
+    return X.market_table(T.mids(spark, d), T.universe(spark, d))
+
+
 def plan(spark, d):
     return X.plan_trades(targets(spark, d), T.books(spark, d), T.mids(spark, d), T.universe(spark, d), MIN_TRADE, TAKER,
                          keys=["account", "coin"])
@@ -159,7 +163,7 @@ def plan_rows(df):
   {Q.r('cur', 'current_value')}, {Q.r('delta', 'delta_value')}, CASE WHEN delta > 0 THEN 'buy' WHEN mid IS NOT NULL THEN 'sell' END AS direction,
   {Q.r('abs(delta) / mid', 'size', 8)} FROM deltas""")
 def trade_deltas(spark, d):
-    got = X.trade_deltas(targets(spark, d), T.books(spark, d), T.mids(spark, d), ["account", "coin"])
+    got = X.trade_deltas(targets(spark, d), T.books(spark, d), market(spark, d), ["account", "coin"]).drop("size_decimals")
     got = got.withColumn("direction", F.when(F.col("is_buy"), "buy").when(~F.col("is_buy"), "sell")).drop("is_buy")
     return rounded(rounded(got, "target_value", "szi", "price", "current_value", "delta_value"), "size", places=8)
 
@@ -182,7 +186,7 @@ def skipped_trades(spark, d):
 @query(DELTAS + PLAN_TAIL + f""" SELECT account, coin, {Q.r('abs(delta) / mid', 'size', 8)}, {Q.r('sz', 'rounded_size', 8)}
   FROM sized WHERE mid IS NOT NULL""")
 def rounded_sizes(spark, d):
-    deltas = X.trade_deltas(targets(spark, d), T.books(spark, d), T.mids(spark, d), ["account", "coin"])
+    deltas = X.trade_deltas(targets(spark, d), T.books(spark, d), market(spark, d), ["account", "coin"]).drop("size_decimals")
     got = X.round_sizes(deltas.where(F.col("price").isNotNull()), T.universe(spark, d))
     return rounded(got.select("account", "coin", "size", "rounded_size"), "size", "rounded_size", places=8)
 
@@ -220,8 +224,8 @@ def forced_closes(spark, d):
 @query(FORCED + f""" SELECT account, coin, {Q.r('up', 'min_size', 8)} FROM small""")
 def size_for_minimum(spark, d):
     deltas = X.trade_deltas(T.books(spark, d).where("szi <> 0").select("account", "coin", F.lit(0.0).alias("target_value")),
-                            T.books(spark, d).where("szi <> 0"), T.mids(spark, d), ["account", "coin"])
-    sized = X.round_sizes(deltas, T.universe(spark, d))
+                            T.books(spark, d).where("szi <> 0"), market(spark, d), ["account", "coin"])
+    sized = with_half_even(deltas, "rounded_size", F.col("size"), F.col("size_decimals"))
     small = sized.where((F.col("rounded_size") != 0) & (F.abs(F.col("rounded_size") * F.col("price")) < MIN_TRADE))
     up = with_size_up(small, "min_size", F.lit(MIN_TRADE), F.col("price"), F.col("size_decimals"))
     return rounded(up, "min_size", places=8).select("account", "coin", "min_size")

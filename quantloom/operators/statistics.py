@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ def performance_stats(daily: DataFrame, start_capital: float, group: list[str] |
 
     Returns are before cost and equity after cost, so volatility, Sharpe, Sortino and win rate ignore costs.
     """
-    group = group or []
+    group, start_capital = group or [], float(start_capital)
     r = F.col("returns")
     sums = daily.groupBy(*group).agg(
         F.count(F.lit(1)).alias("days"),
@@ -28,24 +26,19 @@ def performance_stats(daily: DataFrame, start_capital: float, group: list[str] |
         F.stddev_samp(F.when(r < 0, r)).alias("_down_std"),
         F.count_if(r < 0).alias("_losses"),
     ).where(F.col("days") > 0)
-    growth = F.col("final_equity") / start_capital
-    year = F.sqrt(F.lit(float(DAYS_PER_YEAR)))
-    yearly_mean = F.col("_mean") * DAYS_PER_YEAR
-    volatility = F.coalesce(F.col("_std"), F.lit(0.0)) * year
-    down = F.coalesce(F.col("_down_std"), F.lit(0.0)) * year
-    drop = F.abs("max_drawdown")
     return (
-        sums.withColumn("total_return", growth - 1)
-        .withColumn("cagr", F.when(F.col("final_equity") > 0, F.pow(growth, DAYS_PER_YEAR / F.col("days")) - 1)
-                    .otherwise(growth - 1))
-        .withColumn("annual_volatility", volatility)
-        .withColumn("sharpe_ratio", F.when(volatility > 0, yearly_mean / volatility).otherwise(0.0))
-        .withColumn("sortino_ratio",
-                    F.when(down > 0, yearly_mean / down)
-                    .when((F.col("_losses") == 0) & (yearly_mean > 0), float("inf")).otherwise(0.0))
-        .withColumn("calmar_ratio", F.when(F.col("max_drawdown") < 0, F.col("cagr") / drop).otherwise(0.0))
-        .withColumn("win_rate", F.col("_wins") / F.col("days"))
-        .withColumn("avg_turnover", F.coalesce(F.col("_turnover"), F.lit(0.0)))
+        sums.selectExpr(
+            "*", f"final_equity / {start_capital!r}D AS _growth", f"_mean * {DAYS_PER_YEAR} AS _yearly",
+            f"coalesce(_std, 0D) * sqrt({DAYS_PER_YEAR}D) AS annual_volatility",
+            f"coalesce(_down_std, 0D) * sqrt({DAYS_PER_YEAR}D) AS _down")
+        .selectExpr(
+            "*", "_growth - 1 AS total_return",
+            f"CASE WHEN final_equity > 0 THEN power(_growth, {DAYS_PER_YEAR} / days) - 1 ELSE _growth - 1 END AS cagr",
+            "CASE WHEN annual_volatility > 0 THEN _yearly / annual_volatility ELSE 0D END AS sharpe_ratio",
+            "CASE WHEN _down > 0 THEN _yearly / _down WHEN _losses = 0 AND _yearly > 0 THEN double('Infinity') ELSE 0D END "
+            "AS sortino_ratio",
+            "_wins / days AS win_rate", "coalesce(_turnover, 0D) AS avg_turnover")
+        .withColumn("calmar_ratio", F.expr("CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0D END"))
         .select(*group, "days", "total_return", "cagr", "annual_volatility", "sharpe_ratio", "sortino_ratio",
                 "max_drawdown", "calmar_ratio", "win_rate", "avg_turnover", "final_equity")
     )
@@ -84,7 +77,3 @@ def daily_histograms(daily: DataFrame, bins: int = 15) -> DataFrame:
     return histograms(daily, {
         "returns": F.col("returns"), "drawdown": F.col("drawdown"),
         "turnover": F.when(F.col("turnover") != 0, F.col("turnover"))}, bins)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

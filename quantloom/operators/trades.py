@@ -30,21 +30,31 @@ def round_sizes(sizes: DataFrame, universe: DataFrame, size: str = "size") -> Da
     return with_half_even(known, "rounded_size", F.col(size), F.col("size_decimals"))
 
 
-def trade_deltas(targets: DataFrame, positions: DataFrame, mids: DataFrame, keys: list[str]) -> DataFrame:
+def market_table(mids: DataFrame, universe: DataFrame) -> DataFrame:
+    """``(coin, price, size_decimals)``: everything a trade needs to know about its coin, one row for each coin.
+
+    A price is NULL unless there is a positive mid, decimals are NULL unless the coin is listed.
+    """
+    priced = mids.where(F.col("mid") > 0).select("coin", F.col("mid").alias("price"))
+    return priced.join(size_decimals(universe), "coin", "full_outer")
+
+
+def trade_deltas(targets: DataFrame, positions: DataFrame, market: DataFrame, keys: list[str]) -> DataFrame:
     """Target against current value of every coin in either table, one row for each of ``keys``.
 
-    ``targets``: ``(*keys, target_value)``; ``positions``: ``(*keys, szi)``; ``mids``: ``(coin, mid)``. Without a
-    positive mid the values that need it are NULL.
+    ``targets``: ``(*keys, target_value)``; ``positions``: ``(*keys, szi)``; ``market``: see :func:`market_table`.
+    Without a price the values that need it are NULL. The books are matched on all keys; only then is the market, one
+    row for each coin, looked up: broadcast when it is small at run time, else joined with the skew handling of
+    adaptive execution, which splits the rows of a hot coin.
     """
     price = F.col("price")
     return (
         targets.select(*keys, "target_value").join(positions.select(*keys, "szi"), keys, "full_outer")
         .fillna(0.0, ["target_value", "szi"])
-        .join(mids.select("coin", F.when(F.col("mid") > 0, F.col("mid")).alias("price")), "coin", "left")
+        .join(market, "coin", "left")
         .withColumn("current_value", F.col("szi") * price)
         .withColumn("delta_value", F.col("target_value") - F.col("current_value"))
-        .withColumn("is_buy", F.col("delta_value") > 0)
-        .withColumn("size", F.abs("delta_value") / price)
+        .withColumns({"is_buy": F.col("delta_value") > 0, "size": F.abs("delta_value") / price})
     )
 
 
@@ -67,7 +77,8 @@ def plan_trades(targets: DataFrame, positions: DataFrame, mids: DataFrame, unive
     that the books of many accounts are planned at once.
     """
     keys = keys or ["coin"]
-    priced = round_sizes(trade_deltas(targets, positions, mids, keys), universe)
+    deltas = trade_deltas(targets, positions, market_table(mids, universe), keys)
+    priced = with_half_even(deltas, "rounded_size", F.col("size"), F.col("size_decimals"))
     current, target, delta, price = (F.col(c) for c in ("current_value", "target_value", "delta_value", "price"))
     minimum, decimals = F.lit(float(min_trade_value)), F.col("size_decimals")
     too_small = F.abs(F.col("rounded_size") * price) < minimum

@@ -13,14 +13,15 @@ def raw_weight(rank: Column, count: Column, power: Column) -> Column:
     return F.pow((count - rank + 1) / F.greatest(count, F.lit(1)), F.greatest(power, F.lit(MIN_POWER)))
 
 
-def rank_sums(num: Column, power: Column) -> Column:
+def rank_sums(num: str, power: str) -> Column:
     """Array whose m-th entry is the sum of the raw weights of a side of m assets, for m from 1 to ``num``.
 
     It lets every row find its normalised weight on its own, without a window over the side.
     """
-    sizes = F.when(num > 0, F.sequence(F.lit(1), num)).otherwise(F.array().cast("array<int>"))
-    return F.transform(sizes, lambda m: F.aggregate(
-        F.sequence(F.lit(1), m), F.lit(0.0), lambda total, i: total + raw_weight(i, m, power)))
+    return F.expr(f"""
+        transform(CASE WHEN {num} > 0 THEN sequence(1, {num}) ELSE array() END,
+                  m -> aggregate(sequence(1, m), 0D,
+                                 (total, i) -> total + power((m - i + 1) / m, greatest({power}, {MIN_POWER}D))))""")
 
 
 def with_unit_weights(rows: DataFrame, ranked: list[str]) -> DataFrame:
@@ -31,24 +32,21 @@ def with_unit_weights(rows: DataFrame, ranked: list[str]) -> DataFrame:
     hold gets 0. Done in three projections, each reusing values of the one before, so every piece of generated code
     stays small enough to be compiled.
     """
-    sizes, places, weights = {}, {}, {}
-    for name in ranked:
-        n, top, bottom = F.col(f"{name}_n_assets"), F.col(f"{name}_rank_top"), F.col(f"{name}_rank_bottom")
-        wanted = F.col("num_long").cast("double")
-        sizes[f"_{name}_longs"] = F.least(wanted, n)
-        sizes[f"_{name}_shorts"] = F.least(F.col("num_short").cast("double"), n - F.least(wanted, n))
-
-        longs, shorts = F.col(f"_{name}_longs"), F.col(f"_{name}_shorts")
-        places[f"_{name}_count"] = F.when(top <= longs, longs).when(bottom <= shorts, -shorts).otherwise(0.0)
-        places[f"_{name}_rank"] = F.when(top <= longs, top).otherwise(bottom)
-
-        count, size = F.col(f"_{name}_count"), F.abs(f"_{name}_count")
-        sums = F.when(count > 0, F.col("long_sums")).otherwise(F.col("short_sums"))
-        weights[f"{name}_weight"] = F.when(
-            count != 0,
-            count / (longs + shorts) * raw_weight(F.col(f"_{name}_rank"), size, F.col("rank_power"))
-            / F.get(sums, size.cast("int") - 1)).otherwise(0.0)
-    return rows.withColumns(sizes).withColumns(places).withColumns(weights).drop(*sizes, *places)
+    sizes, places, weights = [], [], []
+    for x in ranked:
+        longs = f"least(double(num_long), {x}_n_assets)"
+        sizes += [f"{longs} AS _{x}_longs", f"least(double(num_short), {x}_n_assets - {longs}) AS _{x}_shorts"]
+        places += [
+            f"CASE WHEN {x}_rank_top <= _{x}_longs THEN _{x}_longs WHEN {x}_rank_bottom <= _{x}_shorts THEN -_{x}_shorts "
+            f"ELSE 0D END AS _{x}_count",
+            f"CASE WHEN {x}_rank_top <= _{x}_longs THEN {x}_rank_top ELSE {x}_rank_bottom END AS _{x}_rank"]
+        size = f"abs(_{x}_count)"
+        weights.append(
+            f"CASE WHEN _{x}_count <> 0 THEN _{x}_count / (_{x}_longs + _{x}_shorts) "
+            f"* power(({size} - _{x}_rank + 1) / greatest({size}, 1D), greatest(rank_power, {MIN_POWER}D)) "
+            f"/ get(CASE WHEN _{x}_count > 0 THEN long_sums ELSE short_sums END, int({size}) - 1) ELSE 0D END AS {x}_weight")
+    helpers = [f"_{x}_{part}" for x in ranked for part in ("longs", "shorts", "count", "rank")]
+    return rows.selectExpr("*", *sizes).selectExpr("*", *places).selectExpr("*", *weights).drop(*helpers)
 
 
 def side_budgets(selection: DataFrame, group: list[str], gross: float) -> DataFrame:

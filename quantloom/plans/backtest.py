@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ from ..operators.statistics import performance_stats
 from ..operators.weights import rank_sums, with_unit_weights
 from ..session import shuffle_width
 
-# Largest parameter table that is sent to every task; longer ones are run in slices of this size.
+# Largest parameter table that is sent to every task, in rows and in stored numbers (8 bytes each, so 32 MB); a grid
+# beyond either bound is run in slices.
 MAX_RUNS_PER_PLAN = 20_000
+MAX_NUMBERS_PER_PLAN = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,9 @@ class ScheduledPanel:
 def scheduled_panel(prices: DataFrame, predictions: DataFrame, window: TradingWindow, every: list[int], lag_days: int,
                     num_top: int, num_bottom: int, returns: DataFrame | None = None) -> ScheduledPanel:
     """``returns`` takes a stored result of ``price_returns``; a large panel is then not windowed twice."""
-    returns = price_returns(prices) if returns is None else returns
+    if returns is None:
+        # Returns look back only, so later prices need not be read; the bound is a literal and reaches the scan.
+        returns = price_returns(prices.where(F.col("date") <= F.lit(window.last).cast("timestamp_ntz")))
     calendar = rebalance_calendar(trading_dates(prices, window), window, every)
     signals = step_signals(usable_predictions(predictions, window, lag_days), window, every, lag_days)
     ends = rank_ends(eligible_signals(signals, returns, window, every), ["rebalance_days", "k"], num_top, num_bottom)
@@ -51,9 +56,8 @@ def scheduled_panel(prices: DataFrame, predictions: DataFrame, window: TradingWi
 
 
 def with_rank_sums(params: DataFrame) -> DataFrame:
-    power = F.col("rank_power").cast("double")
-    return params.withColumn("long_sums", rank_sums(F.col("num_long"), power)).withColumn(
-        "short_sums", rank_sums(F.col("num_short"), power))
+    return params.select("*", rank_sums("num_long", "rank_power").alias("long_sums"),
+                         rank_sums("num_short", "rank_power").alias("short_sums"))
 
 
 RANKS = ("rank_top", "rank_bottom", "n_assets")
@@ -184,12 +188,28 @@ def run_positions(panel: ScheduledPanel, runs: Runs) -> DataFrame:
         "run", "date", "id", F.col("new_weight").alias("weight")).where(F.col("weight") != 0)
 
 
-@dataclass(frozen=True)
 class BacktestResult:
-    daily: DataFrame
-    positions: DataFrame
-    stats: DataFrame
-    window: TradingWindow
+    """Lazy results of one configuration: ``daily``, ``positions`` and ``stats``."""
+
+    def __init__(self, panel: ScheduledPanel, config: BacktestConfig):
+        self.panel, self.config, self.window = panel, config, panel.window
+        self._leverage = max(config.params.leverage, 0.0)
+        self._run = single_run(panel.calendar.sparkSession, config.params)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        flows = run_flows(self.panel, self._run).select(
+            "date", (F.col("returns") * self._leverage).alias("returns"), (F.col("turnover") * self._leverage).alias("turnover"))
+        return equity_curve(flows, [], self.config.start_capital, self.config.cost_rate)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return run_positions(self.panel, self._run).select(
+            "date", "id", (F.col("weight") * self._leverage).alias("weight")).where(F.col("weight") != 0)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return performance_stats(self.daily, self.config.start_capital)
 
 
 class NoTradingDates(ValueError):
@@ -210,10 +230,4 @@ def run_backtest(prices: DataFrame, predictions: DataFrame, config: BacktestConf
         raise NoTradingDates("No valid trading dates given returns and prediction coverage")
     panel = scheduled_panel(prices, predictions, window, [p.rebalance_days], config.prediction_lag_days,
                             p.num_long, p.num_short, returns)
-    leverage = max(p.leverage, 0.0)
-    flows = run_flows(panel, single_run(prices.sparkSession, p)).select(
-        "date", (F.col("returns") * leverage).alias("returns"), (F.col("turnover") * leverage).alias("turnover"))
-    daily = equity_curve(flows, [], config.start_capital, config.cost_rate)
-    positions = run_positions(panel, single_run(prices.sparkSession, p)).select(
-        "date", "id", (F.col("weight") * leverage).alias("weight")).where(F.col("weight") != 0)
-    return BacktestResult(daily, positions, performance_stats(daily, config.start_capital), window)
+    return BacktestResult(panel, config)

@@ -14,7 +14,7 @@ from ..config import BacktestConfig, StrategyParams
 from ..operators.panel import trading_window
 from ..operators.statistics import histograms, performance_stats
 from .backtest import (
-    MAX_RUNS_PER_PLAN, RUN_SCHEMA, BacktestResult, leveraged_daily, run_backtest, run_flows, runs_of, scheduled_panel,
+    MAX_NUMBERS_PER_PLAN, MAX_RUNS_PER_PLAN, RUN_SCHEMA, BacktestResult, leveraged_daily, run_backtest, run_flows, runs_of, scheduled_panel,
 )
 
 PARAM_COLUMNS = ["num_long", "num_short", "leverage", "rebalance_days", "rank_power"]
@@ -46,16 +46,25 @@ def grid_table(spark: SparkSession, grid: Sequence[StrategyParams]) -> DataFrame
     return spark.createDataFrame(rows, _PARAM_SCHEMA)
 
 
-def _slices(grid: Sequence[StrategyParams], size: int) -> Iterator[Sequence[StrategyParams]]:
-    for start in range(0, len(grid), size):
-        yield grid[start:start + size]
+def _slices(grid: Sequence[StrategyParams], max_runs: int) -> Iterator[Sequence[StrategyParams]]:
+    """Consecutive parts of the grid whose parameter tables are small enough to broadcast.
+
+    A run's row holds one number for each position it may take, so the bound counts rows and numbers.
+    """
+    start, numbers = 0, 0
+    for i, p in enumerate(grid):
+        numbers += p.num_long + p.num_short
+        if i > start and (i - start >= max_runs or numbers > MAX_NUMBERS_PER_PLAN):
+            yield grid[start:i]
+            start, numbers = i, p.num_long + p.num_short
+    yield grid[start:]
 
 
 def sweep_daily(prices: DataFrame, predictions: DataFrame, grid: Sequence[StrategyParams], config: BacktestConfig,
                 max_runs: int = MAX_RUNS_PER_PLAN) -> DataFrame | None:
     """``(num_long ... rank_power, date, returns, equity, drawdown, turnover)`` of every combination, or None.
 
-    Grids longer than ``max_runs`` are cut into slices whose plans are united, so the broadcast parameter table keeps
+    Grids beyond the broadcast bound are cut into slices whose plans are united, so the broadcast parameter table keeps
     its bound and every combination is still run.
     """
     window = trading_window(prices, predictions, config.prediction_lag_days, config.start_date, config.end_date)
