@@ -194,11 +194,10 @@ def sweep_summary(results: DataFrame) -> DataFrame:
 
 def heatmap_cells(results: DataFrame, metric: str = "sharpe") -> DataFrame:
     """``(leverage, num_long, num_short, mean)`` of every leverage with at least four results."""
-    enough = results.groupBy("leverage").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4").select("leverage")
-    return (
-        results.join(enough, "leverage", "left_semi")
-        .groupBy("leverage", "num_long", "num_short").agg(F.avg(metric).alias("mean"))
-    )
+    cells = results.groupBy("leverage", "num_long", "num_short").agg(F.avg(metric).alias("mean"), F.count(F.lit(1)).alias("_n"))
+    # The window sees one row for each cell of the grid.
+    found = F.sum("_n").over(Window.partitionBy("leverage"))
+    return cells.withColumn("_found", found).where("_found >= 4").drop("_n", "_found")
 
 
 def heatmap(results: DataFrame, num_shorts: Sequence[int], metric: str = "sharpe") -> DataFrame:
