@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import ORACLES, QUERIES
 from checks.verify import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +23,8 @@ def test_query(spark, connection, name):
 
 
 def test_every_query_has_a_twin():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
 
 
 def test_entry(spark):
