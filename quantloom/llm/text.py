@@ -59,6 +59,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True):
         self.data = lowering()[data] if lower else data
         self.offsets = offsets
+        self._sums = self._back = None
         self.n_docs = len(offsets) - 1
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
@@ -71,12 +72,18 @@ class Chunk:
         self.counts = np.diff(self.bounds)
         self.docs = np.repeat(np.arange(self.n_docs), self.counts)
 
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, all read off one running sum."""
+        if self._sums is None:
+            n = len(self.data)
+            power = _power(BASE, n + 1)[:n]
+            self._sums = np.zeros(n + 1, U64)
+            np.cumsum(self.data.astype(U64) * power + power, out=self._sums[1:])
+            self._back = _power(pow(BASE, -1, 1 << 64), n + 1)
+        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
+
     def word_hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(self.data.astype(U64) * _power(BASE, n + 1)[:n] + _power(BASE, n + 1)[:n], out=total[1:])
-        back = _power(pow(BASE, -1, 1 << 64), n + 1)
-        return mix((total[self.ends] - total[self.starts]) * back[self.starts])
+        return self.range_hashes(self.starts, self.ends)
 
     def shingles(self, width: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of ``width`` words and its document. A document of fewer words is one shingle."""
@@ -99,6 +106,36 @@ class Chunk:
         return mix(out)[order], docs[order]
 
 
+class Lookup:
+    """Place of 64-bit keys in a list, by open addressing; -1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(int(4 * len(keys)).bit_length(), 4)
+        self.mask = U64((1 << bits) - 1)  # keys are spread already
+        self.keys, self.at = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = keys & self.mask
+        while len(left):
+            free = self.at[slot[left]] < 0
+            mine, first = np.unique(slot[left[free]], return_index=True)
+            winner = left[free][first]
+            self.keys[mine], self.at[mine] = keys[winner], winner
+            left = np.setdiff1d(left, winner, assume_unique=True)
+            slot[left] = (slot[left] + U64(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        flat = keys.ravel()
+        out, slot = np.full(len(flat), -1, np.int32), flat & self.mask
+        left = np.flatnonzero(flat)
+        while len(left):
+            s = slot[left]
+            hit = self.keys[s] == flat[left]
+            out[left[hit]] = self.at[s[hit]]
+            left = left[~hit & (self.at[s] >= 0)]
+            slot[left] = (slot[left] + U64(1)) & self.mask
+        return out.reshape(keys.shape)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and where each row begins and ends; a null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
