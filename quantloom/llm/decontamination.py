@@ -68,28 +68,30 @@ class MultiIndex:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        near, n = near_values(), len(prints)
-        self.lists = []
-        for values in np.ascontiguousarray(prints).view(np.uint16).reshape(n, -1).T:  # blocks of all tables
-            keys = (values[:, None].astype(np.uint32) ^ near[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            owner = np.repeat(np.arange(n, dtype=np.int32), len(near))[order]
-            self.lists.append((np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)), owner))
+        self.offsets = np.arange(TABLES * BLOCKS, dtype=np.int64) << BLOCK_BITS
+        self.keys = None
+
+    def build(self) -> None:
+        """The lists, as sorted (block and value, item); made in the task, as they are much larger than the fingerprints."""
+        near, n = near_values(), len(self.prints)
+        blocks = np.ascontiguousarray(self.prints).view(np.uint16).reshape(n, -1)
+        keys = ((blocks[:, :, None] ^ near.astype(np.uint16)) + self.offsets[None, :, None]).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), blocks.shape[1] * len(near))[order]
+        self.keys = keys[order]
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, fingerprint) within RADIUS in at least one table, each once."""
-        found = []
-        blocks = np.ascontiguousarray(queries).view(np.uint16).reshape(len(queries), -1)
-        for k, (first, owner) in enumerate(self.lists):
-            values = blocks[:, k].astype(np.int64)
-            many = first[values + 1] - first[values]
-            q = np.repeat(np.arange(len(queries)), many)
-            at = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[values], many)
-            item = owner[at]
-            t = k // BLOCKS
-            close = np.bitwise_count(queries[q, t] ^ self.prints[item, t]) <= RADIUS
-            found.append(q[close] * len(self.prints) + item[close])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if self.keys is None:
+            self.build()
+        values = (np.ascontiguousarray(queries).view(np.uint16).reshape(len(queries), -1) + self.offsets[None, :]).ravel()
+        begin = np.searchsorted(self.keys, values)
+        many = np.searchsorted(self.keys, values, "right") - begin
+        at = np.repeat(np.arange(len(values)), many)
+        item = self.owner[np.arange(len(at)) + np.repeat(begin - np.cumsum(many) + many, many)]
+        q, t = at // len(self.offsets), at % len(self.offsets) // BLOCKS
+        close = np.bitwise_count(queries[q, t] ^ self.prints[item, t]) <= RADIUS
+        pairs = np.unique(q[close] * len(self.prints) + item[close])
         return pairs // len(self.prints), pairs % len(self.prints)
 
 
