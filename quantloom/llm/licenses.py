@@ -14,6 +14,8 @@ with ``_l_`` are reserved.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,9 +187,14 @@ def rules() -> list[tuple[str, int, str, str]]:
     return out
 
 
+def anchor(words: str) -> str:
+    """The longest text that any match of a signature contains: what is left between its choices and repetitions."""
+    return max(re.split(r"\(\?:.*?\)\??|\[[^\]]*\](?:\{\d+\}|\?)?|\.\{[^}]*\}|.\?", words), key=len)
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, label, priority, keyword, f"\\G(.*?)((?<= ){words}(?= ))") for k, (label, priority, keyword, words) in enumerate(rules())]
-    return spark.createDataFrame(rows, "_l_rule int, label string, priority int, keyword string, signature string")
+    rows = [(k, label, priority, keyword, anchor(words), f"\\G(.*?)((?<= ){words}(?= ))") for k, (label, priority, keyword, words) in enumerate(rules())]
+    return spark.createDataFrame(rows, "_l_rule int, label string, priority int, keyword string, anchor string, signature string")
 
 
 def words_of(text: Column) -> Column:
@@ -216,6 +223,7 @@ def detections(texts: DataFrame, key: str, body: str) -> DataFrame:
     has = F.filter(F.lit(KEYWORDS), lambda k: F.contains(F.col(body), F.concat(F.lit(" "), k)))
     gated = texts.select(key, body, F.explode(has).alias("keyword"))
     gated = gated.join(F.broadcast(rule_table(spark)), "keyword")  # the rules are a fixed table
+    gated = gated.where(F.contains(F.col(body), F.col("anchor")))
     found = _places(body, key, gated, F.col("signature"), ["_l_rule", "label", "priority"])
     out = found.groupBy(key, "label", "priority", "first", "last").agg(F.count(F.lit(1)).alias("_l_n"))
     # Contained in a longer interval of the same or any interval of a higher priority: a running largest end, for each priority.
@@ -247,10 +255,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """One row for each document: words, base places, labels, and the confidence of the best detection as score."""
     text = text_of()
     gate = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(KEYWORDS) + ")"
-    blob = F.when(text.rlike(gate), F.sha2(text, 256))  # only texts with a keyword go on
-    counted = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), blob.alias("_l_blob"))
-    texts = docs.where(text.rlike(gate)).select(F.sha2(text, 256).alias("_l_blob"), text.alias("_l_text")).dropDuplicates(["_l_blob"])
-    texts = landed(texts.select("_l_blob", words_of(F.col("_l_text")).alias("_l_words")), "license_texts")
+    read = docs.select("doc_id", text.alias("_l_text"), text.rlike(gate).alias("_l_open"))
+    read = read.select("doc_id", F.regexp_count("_l_text", F.lit(WORD)).cast("long").alias("n_words"), F.when(
+        F.col("_l_open"), F.struct(F.sha2("_l_text", 256).alias("_l_blob"), words_of(F.col("_l_text")).alias("_l_words"))).alias("_l_go"))
+    read = landed(read, "license_words")  # only texts with a keyword go on
+    counted = read.select("doc_id", "n_words", F.col("_l_go._l_blob").alias("_l_blob"))
+    texts = read.where("_l_go IS NOT NULL").select("_l_go.*").dropDuplicates(["_l_blob"])
+    texts = landed(texts, "license_texts")
     base = base_places(texts, "_l_blob", "_l_words").groupBy("_l_blob").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("first").alias("first_word"), F.max("first").alias("last_word"),
         F.collect_set("label").alias("_l_base"))
