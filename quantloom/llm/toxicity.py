@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.store import held_out, text_of
+from quantloom.llm.store import held_out, in_arrow, landed, small, text_of
 from quantloom.llm.text import Chunk, Lookup, chunks, mix
 
 #: Bytes of text that the fit reads, of toxic documents and of others.
@@ -235,16 +235,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def sample(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Whole texts, labels and weights of the rows to fit on, and the share of toxic labels."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    rows = docs.select("doc_id", text_of().alias("text")).join(known.select("doc_id", "toxic"), "doc_id")
-    sizes = {r["toxic"]: (r["bytes"], r["n"]) for r in rows.groupBy("toxic").agg(
-        F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
+    # Rows are chosen by id and size; texts are then read for the chosen ones only.
+    known = docs.select("doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("bytes")).join(known.select("doc_id", "toxic"), "doc_id")
+    known = landed(known, "labelled")
+    sizes = {r["toxic"]: (r["bytes"], r["n"]) for r in known.groupBy("toxic").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n for _, n in sizes.values())
     share = sizes.get(1, (0, 0))[1] / total if total else 0.0
     if len(sizes) < 2:
         return [], np.zeros(0, bool), np.zeros(0), share
     parts = {k: min(1.0, per_label[k] / max(b, 1)) for k, (b, _) in sizes.items()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0]) * 1_000_000
-    got = rows.where(draw).orderBy("doc_id", "toxic").select("text", "toxic").collect()
+    chosen = landed(known.where(draw).select("doc_id", "toxic").distinct(), "chosen")
+    rows = docs.select("doc_id", text_of().alias("text")).join(small(chosen), "doc_id")
+    got = rows.orderBy("doc_id", "toxic", "text").select("text", "toxic").collect()
     toxic = np.array([r["toxic"] == 1 for r in got], bool)
     weight = np.where(toxic, 1 / parts[1], 1 / parts[0]) if len(got) else np.zeros(0)
     return [r["text"] for r in got], toxic, weight / max(weight.mean(), 1e-9) if len(got) else weight, share
@@ -276,7 +279,7 @@ def tag(docs: DataFrame, keys: list[str], model: Model | None, base: float = 0.0
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in keys], pa.array(score), pa.array(spans, kind)], names=[*keys, "score", "spans"])
 
-    return rows.mapInArrow(judge, f"{fields}, score double, spans array<struct<start: long, end: long, probability: double>>")
+    return in_arrow(rows, judge, f"{fields}, score double, spans array<struct<start: long, end: long, probability: double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
