@@ -18,7 +18,7 @@ from quantloom.operators import weights as W
 from . import sql as Q
 from . import tables as T
 from .panel_queries import LEVERAGE, NUM_LONG, NUM_SHORT, POWER, live_book
-from .registry import query, r, rounded
+from .registry import numbered, query, r, rounded
 
 # --- Portfolio state -------------------------------------------------------------------------------------------------
 
@@ -27,7 +27,16 @@ from .registry import query, r, rounded
   {Q.r('CASE WHEN szi > 0 THEN entryPx / 2 END', 'liquidationPx')}, {Q.r('abs(szi)', 'marginUsed')} FROM books WHERE szi <> 0""")
 def open_positions(spark, d):
     states = H.parse_state(T.account_states(spark, d))
-    return rounded(H.open_positions(states), "szi", "entryPx", "liquidationPx", "marginUsed")
+    return rounded(H.open_positions(states).drop("unreadable"), "szi", "entryPx", "liquidationPx", "marginUsed")
+
+
+@query(Q.with_(Q.BOOKS) + f"""SELECT account, coin, {Q.r("CASE WHEN coin <> 'Brand#12' THEN szi END", 'szi')}, {Q.r('entryPx', 'entryPx')},
+  coin = 'Brand#12' AS unreadable FROM books WHERE coin = 'Brand#12' OR szi <> 0""")
+def open_positions_unreadable(spark, d):
+    """One coin's size is written with a thousands separator."""
+    garbled = F.regexp_replace("state", '("coin":"Brand#12","szi":)"[^"]*"', '$1"1,000"')
+    states = H.parse_state(T.account_states(spark, d).withColumn("state", garbled))
+    return rounded(H.open_positions(states), "szi", "entryPx").select("account", "coin", "szi", "entryPx", "unreadable")
 
 
 MARKED = Q.with_(Q.PRICES, Q.BOOKS, Q.MIDS) + """, priced AS (SELECT account, b.coin, szi, entryPx, coalesce(mid, entryPx) AS mark
@@ -44,12 +53,12 @@ def marked(spark, d):
 
 def marked_rows(df):
     return rounded(df, "size", "value", "unrealized_pnl", "return_pct").select(
-        "account", "coin", "side", "size", "entry_price", "mark_price", "value", "unrealized_pnl", "return_pct")
+        "account", "coin", "side", "size", "entry_price", "mark_price", "value", "unrealized_pnl", "return_pct", "place")
 
 
-@query(MARKED + f" SELECT {MARKED_COLUMNS} FROM marked")
+@query(MARKED + f" SELECT {MARKED_COLUMNS}, row_number() OVER (ORDER BY abs(value) DESC, account, coin) AS place FROM marked")
 def mark_to_market(spark, d):
-    return marked_rows(H.position_list(marked(spark, d)))
+    return numbered(H.position_list(marked(spark, d), ["account", "coin"]), marked_rows)
 
 
 EXPOSED = MARKED + """, exposed AS (SELECT account,
@@ -85,7 +94,7 @@ SELECT account, v AS account_value, most AS total_position_value, least AS margi
   round(CASE WHEN account % 3 = 0 THEN least / 2 END, 6) + 0.0 AS cross_margin_used,
   round(CASE WHEN account % 3 = 0 THEN least / 4 END, 6) + 0.0 AS cross_maintenance_margin FROM a""")
 def account_metrics(spark, d):
-    metrics = H.account_metrics(H.parse_state(T.account_states(spark, d)))
+    metrics = H.account_metrics(H.parse_state(T.account_states(spark, d))).drop("unreadable")
     return rounded(rounded(metrics, "free_collateral", "cash_balance", "withdrawable", "cross_leverage",
                            "cross_margin_used", "cross_maintenance_margin"), "current_leverage", places=4)
 
@@ -173,6 +182,23 @@ def trade_plan(spark, d):
     return plan_rows(plan(spark, d))
 
 
+@query(DELTAS + PLAN_TAIL + """ SELECT account, coin, reason IS NOT NULL AS skipped,
+  row_number() OVER (ORDER BY reason IS NOT NULL, coalesce(CASE WHEN early IS NULL THEN abs(delta) END, 0) DESC, account, coin) AS place FROM plan""")
+def plan_rows_order(spark, d):
+    return numbered(X.plan_rows(plan(spark, d), ["account", "coin"]), lambda x: x.select("account", "coin", "skipped", "place"))
+
+
+@query(DELTAS.replace("weight * c_acctbal AS target", "CASE WHEN c_custkey % 10 = 3 THEN 'NaN'::DOUBLE ELSE weight * c_acctbal END AS target")
+       + PLAN_TAIL.replace("WHEN sz = 0", "WHEN isnan(delta) THEN 'Target or position is not a number' WHEN sz = 0")
+       + f""" SELECT account, coin, isnan(target) AS wrong, {_shown('sz', 'sz')}, CASE WHEN early IS NULL THEN type END AS type,
+  reason IS NOT NULL AS skipped, reason AS skip_reason FROM plan""")
+def trade_plan_with_nan(spark, d):
+    """Some accounts' targets are not numbers: none of their positions may be closed for that."""
+    bad = targets(spark, d).withColumn("target_value", F.when(F.col("account") % 10 == 3, float("nan")).otherwise(F.col("target_value")))
+    got = X.plan_trades(bad, T.books(spark, d), T.mids(spark, d), T.universe(spark, d), MIN_TRADE, TAKER, keys=["account", "coin"])
+    return rounded(got, "sz").select("account", "coin", F.isnan("target_value").alias("wrong"), "sz", "type", "skipped", "skip_reason")
+
+
 @query(DELTAS + PLAN_TAIL + f" SELECT {PLAN_COLUMNS} FROM plan WHERE reason IS NULL")
 def executable_trades(spark, d):
     return plan_rows(X.executable(plan(spark, d)))
@@ -274,6 +300,29 @@ def rounded_prices(spark, d):
         "l_orderkey", "l_linenumber", "rounded_price")
 
 
+WIDE = """WITH wide AS (SELECT p_partkey, 'P' || CAST(p_partkey AS VARCHAR) AS coin, p_retailprice * pow(10.0::DOUBLE, p_partkey % 9 - 4) AS px,
+  CAST(p_partkey % 13 AS INTEGER) AS szd, (p_size - 25) / 1000.0::DOUBLE AS szi FROM part)"""
+
+
+def wide(spark, d):
+    """An asset for each part, with 0 to 12 size decimals and prices over nine powers of ten."""
+    key = F.col("p_partkey")
+    return T.table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("P"), key.cast("string")).alias("coin"),
+        (F.col("p_retailprice") * F.pow(F.lit(10.0), (key % 9 - 4).cast("double"))).alias("price"),
+        (key % 13).cast("int").alias("szDecimals"), ((F.col("p_size") - 25) / F.lit(1000.0)).alias("szi"))
+
+
+def wide_universe(spark, d):
+    return wide(spark, d).select(F.col("coin").alias("name"), "szDecimals", F.lit(False).alias("isDelisted"))
+
+
+@query(WIDE + f" SELECT p_partkey, szd AS size_decimals, {Q.perp_price('px', 'szd', -6)} AS rounded_price FROM wide")
+def rounded_prices_all_decimals(spark, d):
+    got = X.rounded_prices(wide(spark, d).select("p_partkey", "coin", "price"), wide_universe(spark, d))
+    return got.select("p_partkey", "size_decimals", "rounded_price")
+
+
 @query(DELTAS + PLAN_TAIL + f""", limits AS (SELECT account, coin, szd, mid * CASE WHEN delta > 0 THEN 1 - 0.001::DOUBLE ELSE 1 + 0.001::DOUBLE END AS px
   FROM plan WHERE reason IS NULL)
 SELECT account, coin, {Q.r(Q.perp_price('px', 'szd'), 'limit_px')} FROM limits""")
@@ -358,6 +407,16 @@ def trigger_orders(spark, d):
     return O.trigger_orders(T.resting_orders(spark, d)).select("oid", "coin")
 
 
+@query(OUTCOMES.replace("THEN 'filled' WHEN", "AND NOT (trade_id % 10 = 3 AND n <= 2) THEN 'filled' WHEN") + """ SELECT trade_id, line, status,
+  CASE WHEN trade_id % 10 = 3 AND n <= 2 THEN 'Unreadable fill' ELSE error END AS error,
+  CASE WHEN status = 'filled' THEN total_sz END AS total_sz, CASE WHEN status = 'filled' THEN fee END AS actual_fee FROM outcomes""")
+def order_outcomes_unreadable(spark, d):
+    """Some fills have a price that is no number: they are failures, not fills at the expected price."""
+    garbled = F.when(F.col("trade_id") % 10 == 3, F.regexp_replace("response", '"avgPx":"[^"]*"', '"avgPx":"abc"')).otherwise(F.col("response"))
+    got = O.classify_responses(T.order_log(spark, d).withColumn("response", garbled))
+    return got.select("trade_id", "line", "status", "error", "total_sz", "actual_fee")
+
+
 # --- Fills and PnL ---------------------------------------------------------------------------------------------------
 
 FILL_SQL = "time, coin, side, oid, CAST(sz AS DOUBLE) AS size, px AS price"
@@ -392,11 +451,22 @@ def newest_fills(spark, d):
   {Q.r('sum(sz * px * 0.00035)', 'estimated_fees', 2)}, count(*) FILTER (WHERE fee IS NULL) AS n_missing_fee,
   {Q.r('abs(sum(coalesce(fee, 0)) - sum(sz * px * 0.00035)) / sum(coalesce(fee, 0)) * 100', 'fee_diff_pct', 4)} FROM fills""")
 def fee_summary(spark, d):
-    got = E.fee_summary(T.fills(spark, d))
+    return fee_rows(E.fee_summary(T.fills(spark, d))).drop("n_unreadable")
+
+
+def fee_rows(got):
     return got.withColumns({"volume": r("volume", 1), "actual_fees": r("actual_fees", 4), "estimated_fees": r("estimated_fees", 2),
                             "fee_diff_pct": r("fee_diff_pct", 4)})
 
 
+@query(Q.with_(Q.FILLS) + f"""SELECT count(*) AS n_fills, {Q.r('sum(sz * px) FILTER (WHERE oid % 10 <> 3)', 'volume', 1)},
+  {Q.r('sum(coalesce(fee, 0))', 'actual_fees', 4)}, count(*) FILTER (WHERE oid % 10 = 3) AS n_unreadable FROM fills""")
+def fee_summary_unreadable(spark, d):
+    """Some sizes are no numbers: they are counted, not left out without a word."""
+    bad = T.fills(spark, d).withColumn("sz", F.when(F.col("oid") % 10 == 3, "1,000").otherwise(F.col("sz")))
+    return fee_rows(E.fee_summary(bad)).select("n_fills", "volume", "actual_fees", "n_unreadable")
+
+
 PNL = Q.with_(Q.PRICES, Q.FILLS, Q.POSITIONS, Q.MIDS) + """, unreal AS (
   SELECT p.coin, CASE WHEN szi > 0 THEN (mark - entryPx) * szi ELSE (entryPx - mark) * abs(szi) END AS u
   FROM (SELECT p.*, coalesce(mid, entryPx) AS mark FROM positions p LEFT JOIN mids USING (coin) WHERE szi <> 0) p),
@@ -411,16 +481,27 @@ def pnl(spark, d):
     return E.pnl_by_coin(T.fills(spark, d), marks)
 
 
+@query(PNL + f""" SELECT coin, coin = 'Brand#12' AS wrong, {Q.r("CASE WHEN coin <> 'Brand#12' THEN re END", 'realized_pnl', 4)},
+  {Q.r('fees', 'fees', 4)} FROM pnl""")
+def pnl_with_nan(spark, d):
+    """A coin with a PnL of NaN shows NaN, not 0."""
+    bad = T.fills(spark, d).withColumn("closedPnl", F.when(F.col("coin") == "Brand#12", "NaN").otherwise(F.col("closedPnl")))
+    got = E.pnl_by_coin(bad, H.mark_to_market(T.positions(spark, d), T.mids(spark, d)))
+    wrong = F.isnan("realized_pnl")
+    got = got.select("coin", wrong.alias("wrong"), F.when(~wrong, F.col("realized_pnl")).alias("realized_pnl"), "fees")
+    return rounded(got, "realized_pnl", "fees", places=4)
+
+
 @query(PNL + f" SELECT {PNL_SQL} FROM pnl")
 def pnl_by_coin(spark, d):
-    return rounded(rounded(pnl(spark, d), "realized_pnl", "unrealized_pnl", "fees", places=4), "volume", places=1)
+    return rounded(rounded(pnl(spark, d).drop("n_unreadable"), "realized_pnl", "unrealized_pnl", "fees", places=4), "volume", places=1)
 
 
 @query(PNL + f""", totals AS (SELECT coin, re, u, fees, volume FROM pnl UNION ALL SELECT 'TOTAL', sum(re), sum(u), sum(fees), sum(volume) FROM pnl)
 SELECT {PNL_SQL}, {Q.r('re + u', 'total_pnl', 4)} FROM totals""")
 def pnl_totals(spark, d):
     names = ["realized_pnl", "unrealized_pnl", "fees", "total_pnl"]
-    return rounded(rounded(E.pnl_totals(pnl(spark, d)), *names, places=4), "volume", places=1)
+    return rounded(rounded(E.pnl_totals(pnl(spark, d)).drop("n_unreadable"), *names, places=4), "volume", places=1)
 
 
 # --- Stops -----------------------------------------------------------------------------------------------------------
@@ -443,6 +524,18 @@ def stop_levels(spark, d):
         "account", "coin", "side", F.when(F.col("is_buy"), "buy").otherwise("sell").alias("direction"), "trigger_px", "limit_px", "sz")
 
 
+@query(WIDE + f""", lv AS (SELECT *, szi > 0 AS long, px * CASE WHEN szi > 0 THEN 1 - 0.17::DOUBLE ELSE 1 + 0.17::DOUBLE END AS tpx FROM wide WHERE szi <> 0),
+lx AS (SELECT *, tpx * CASE WHEN long THEN 1 - 0.05::DOUBLE ELSE 1 + 0.05::DOUBLE END AS lpx FROM lv),
+done AS (SELECT *, {Q.perp_price('tpx', 'szd', -6)} AS t, {Q.perp_price('lpx', 'szd', -6)} AS l, {Q.half_even('abs(szi)', 'szd', range(0, 13))} AS sz FROM lx)
+SELECT coin, CASE WHEN NOT (t > 0 AND l > 0) THEN 'No price after rounding' END AS skip_reason, CASE WHEN t > 0 AND l > 0 THEN t END AS trigger_px,
+  CASE WHEN t > 0 AND l > 0 THEN l END AS limit_px, CASE WHEN t > 0 AND l > 0 THEN sz END AS sz FROM done""")
+def stop_levels_wide_decimals(spark, d):
+    held = wide(spark, d).select("coin", "szi", F.col("price").alias("entryPx"))
+    got = L.stop_levels(held, wide_universe(spark, d), "both", 0.17, 0.05)
+    empty = F.col("skip_reason").isNotNull()
+    return got.select("coin", "skip_reason", *[F.when(~empty, F.col(c)).alias(c) for c in ("trigger_px", "limit_px", "sz")])
+
+
 @query(STOPS + """ SELECT account, coin FROM lx WHERE long""")
 def stop_eligible_longs(spark, d):
     held = T.books(spark, d).where("szi <> 0").withColumn("side", F.when(F.col("szi") > 0, "LONG").otherwise("SHORT"))

@@ -15,7 +15,7 @@ from quantloom.sources import load_table, write_csv
 
 from . import sql as Q
 from . import tables as T
-from .registry import days, query, rounded
+from .registry import days, numbered, query, rounded
 
 CONFIG = BacktestConfig(StrategyParams(num_long=5, num_short=4, leverage=2.0, rebalance_days=10, rank_power=1.5))
 ONE = "VALUES (0, 5, 4, 2.0, 10, 1.5)"
@@ -91,10 +91,10 @@ def daily_csv_round_trip(spark, d):
     return daily_rows(load_table(path, spark, "date timestamp_ntz, returns double, equity double, drawdown double, turnover double"))
 
 
-@query(BT + f"""SELECT CAST(date AS VARCHAR) AS date, id, {Q.r('weight', 'weight')} FROM w
-  WHERE date = (SELECT max(date) FROM w)""")
+@query(BT + f"""SELECT CAST(date AS VARCHAR) AS date, id, {Q.r('weight', 'weight')},
+  row_number() OVER (ORDER BY round(abs(weight), 10) DESC, id) AS place FROM w WHERE date = (SELECT max(date) FROM w)""")
 def latest_snapshot(spark, d):
-    return rounded(days(N.latest_snapshot(backtest(spark, d).positions), "date"), "weight")
+    return numbered(N.latest_snapshot(backtest(spark, d).positions), lambda x: rounded(days(x, "date"), "weight"))
 
 
 @query(BT + """SELECT count(*) FILTER (WHERE weight > 0) AS n_long, count(*) FILTER (WHERE weight <= 0) AS n_short FROM w
@@ -125,9 +125,10 @@ def history_rows(df):
     return rounded(days(df, "first_date", "last_date"), "avg_weight", "current_weight", "frequency_pct")
 
 
-@query(HISTORY + f"SELECT {HISTORY_SQL} FROM sides")
+@query(HISTORY + f"""SELECT {HISTORY_SQL}, row_number() OVER (ORDER BY times_held DESC, round(abs(avg_weight), 12) DESC, id) AS place
+  FROM sides""")
 def asset_history(spark, d):
-    return history_rows(N.by_consistency(history(spark, d)))
+    return numbered(N.by_consistency(history(spark, d)), history_rows)
 
 
 @query(HISTORY + f"SELECT {HISTORY_SQL} FROM sides ORDER BY times_held DESC, round(abs(avg_weight), 12) DESC, id LIMIT 1")

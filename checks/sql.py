@@ -115,14 +115,20 @@ stats AS (SELECT run, days, total_return, cagr, vol AS annual_volatility,
 
 
 def half_even(expression: str, decimals: str, scales: range) -> str:
-    """Exact rounding through printf, which looks at the binary value."""
-    return f"CASE {decimals} " + " ".join(f"WHEN {i} THEN CAST(printf('%.{i}f', {expression}) AS DOUBLE)" for i in scales) + " END"
+    """Exact rounding through printf, which looks at the binary value; below zero decimals through the exact remainder."""
+    def one(i: int) -> str:
+        if i >= 0:
+            return f"CAST(printf('%.{i}f', {expression}) AS DOUBLE)"
+        x, m = f"({expression})", f"{10 ** -i}::DOUBLE"
+        return (f"{x} - {x} % {m} + CASE WHEN {x} % {m} > {m} / 2 OR ({x} % {m} = {m} / 2 AND (({x} - {x} % {m}) / {m}) % 2 = 1) "
+                f"THEN {m} ELSE 0 END")
+    return f"CASE {decimals} " + " ".join(f"WHEN {i} THEN {one(i)}" for i in scales) + " END"
 
 
-def perp_price(px: str, decimals: str) -> str:
+def perp_price(px: str, decimals: str, lowest: int = 0) -> str:
     five = f"CAST(printf('%.4e', {px}) AS DOUBLE)"
     return (f"CASE WHEN {px} > 100000 THEN CAST(printf('%.0f', {px}) AS DOUBLE) WHEN {decimals} IS NULL THEN {five} "
-            f"ELSE {half_even(five, f'6 - {decimals}', range(0, 7))} END")
+            f"ELSE {half_even(five, f'6 - {decimals}', range(lowest, 7))} END")
 
 
 def r(expression: str, name: str, places: int = 6) -> str:

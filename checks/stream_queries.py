@@ -34,7 +34,7 @@ def stream_running_pnl(spark, d):
 SELECT strftime(s, '%Y-%m-%d') AS window_start, strftime(s + INTERVAL 7 DAY, '%Y-%m-%d') AS window_end,
   {Q.r('sum(v)', 'volume', 2)}, {Q.r('sum(CAST(fee AS DOUBLE))', 'fees')}, count(*) AS n_fills FROM starts GROUP BY s""")
 def stream_trailing_totals(spark, d):
-    got = changed(R.trailing_totals(T.fill_stream(spark, d), 7), "trailing", ["window_start", "window_end"])
+    got = R.trailing_totals(changed(R.daily_totals(T.fill_stream(spark, d)), "daily", ["day"]), 7)
     return rounded(rounded(days(got, "window_start", "window_end"), "volume", places=2), "fees")
 
 
@@ -53,3 +53,15 @@ def stream_marked_positions(spark, d):
 def stream_current_predictions(spark, d):
     got = changed(R.current_predictions(T.order_stream(spark, d)), "current-predictions", ["id"])
     return days(got, "pred_date")
+
+
+@query(Q.with_(Q.POSITIONS) + f""", marks AS (SELECT ts, {COIN} AS coin, 1000 + value AS mid FROM events),
+newest AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY coin ORDER BY ts DESC, mid DESC) = 1)
+SELECT coin, {Q.r('abs(szi * mid)', 'value')} FROM newest JOIN positions USING (coin) WHERE szi <> 0""")
+def stream_newest_marks(spark, d):
+    """Only the newest mark of a coin in each micro-batch meets its positions."""
+    marks = T.event_stream(spark, d).select("ts", "coin", (1000 + F.col("value")).alias("mid"))
+    positions, path = T.positions(spark, d), work_path(spark, "newest")
+    R.write_changes(marks, path, work_path(spark, "newest-checkpoint"), each=lambda batch: R.marked_positions(
+        R.newest_marks(batch), positions)).awaitTermination()
+    return rounded(R.read_latest(spark, path, ["coin"]), "value").select("coin", "value")

@@ -13,7 +13,7 @@ from quantloom.sources import load_table, write_csv
 from . import sql as Q
 from . import tables as T
 from .backtest_queries import STAT_SQL, histogram_sql, stat_rows
-from .registry import query, rounded
+from .registry import numbered, query, rounded
 
 CONFIG = BacktestConfig()
 LISTS = {"num_longs": [3, 5, 9], "num_shorts": [2, 6], "leverages": [1.0, 3.0], "rebalance_days": [8, 10], "rank_powers": [0.0, 1.5]}
@@ -47,9 +47,7 @@ def grid(lists=LISTS):
 
 
 def results(spark, d, lists=LISTS):
-    """Runs that differ in leverage only have the same Sharpe ratio up to the last bits, so ties are cut there."""
-    found = G.run_sweep(T.prices(spark, d), T.predictions(spark, d), grid(lists), CONFIG)
-    return found.withColumn("sharpe", F.round("sharpe", 10))
+    return G.run_sweep(T.prices(spark, d), T.predictions(spark, d), grid(lists), CONFIG)
 
 
 def result_rows(df):
@@ -102,13 +100,23 @@ def sweep_drawdown_limit(spark, d):
 @query(SWEEP + f"""SELECT {ROWS_SQL}, row_number() OVER (ORDER BY round(calmar, 10) DESC, num_long, num_short, leverage,
   rebalance_days, rank_power) AS place FROM results QUALIFY place <= 20""")
 def sweep_top(spark, d):
-    ranked = results(spark, d).withColumn("calmar", F.round("calmar", 10))
-    return result_rows(G.top_results(ranked, "calmar", 20)).withColumn("place", F.col("place").cast("bigint"))
+    return result_rows(G.top_results(results(spark, d), "calmar", 20)).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(SWEEP + f"SELECT {ROWS_SQL} FROM results")
+@query(SWEEP + f"""SELECT {ROWS_SQL}, row_number() OVER (ORDER BY round(cagr, 10) DESC, num_long, num_short, leverage, rebalance_days,
+  rank_power) AS place FROM results""")
 def sweep_ranked(spark, d):
-    return result_rows(G.rank_results(results(spark, d), "cagr"))
+    return numbered(G.rank_results(results(spark, d), "cagr"), result_rows)
+
+
+@query(SWEEP + "SELECT CAST(0 AS BIGINT) AS left_over, count(*) AS stored FROM results")
+def sweep_cleared(spark, d):
+    """Rows of the result table after a sweep, and after it was cleared."""
+    store = G.SweepStore(spark, work_path(spark, "cleared"), G.SweepSource("prices", "predictions"), CONFIG)
+    store.run(T.prices(spark, d), T.predictions(spark, d), grid())
+    stored = store.stored().count()
+    store.clear()
+    return store.stored().agg(F.count(F.lit(1)).alias("left_over")).withColumn("stored", F.lit(stored).cast("bigint"))
 
 
 @query(SWEEP + f"SELECT {ROWS_SQL} FROM results")

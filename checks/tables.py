@@ -6,6 +6,7 @@ Aggregates use max, min or sums of whole numbers, so every engine gets the same
 from __future__ import annotations
 
 import os
+import zlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,19 @@ def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _state(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the sizes and times of the files that the panels come from."""
+    found = []
+    for name in ("lineitem", "orders", "part"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        for file in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return zlib.crc32(repr(sorted(found)).encode())
+
+
 def _landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The panel as a Parquet table, derived from the driver tables once for each session and data folder."""
-    key = f"quantloom.landed.{name}.{sf_dir}"
+    """The panel as a Parquet table, derived from the driver tables once for each session and state of their files."""
+    key = f"quantloom.landed.{name}.{sf_dir}.{_state(spark, sf_dir)}"
     path = spark.conf.get(key, None)
     if path is None:
         path = work_path(spark, name) + ".parquet"

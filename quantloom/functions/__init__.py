@@ -1,7 +1,8 @@
 from .calendar import ceil_day_index, chunk_of, day_index, on_schedule, plus_days
+from .keys import one_row_each
 from .numeric import with_half_even, with_perp_price, with_size_up
 
 __all__ = [
-    "ceil_day_index", "chunk_of", "day_index", "on_schedule", "plus_days",
+    "ceil_day_index", "chunk_of", "day_index", "on_schedule", "one_row_each", "plus_days",
     "with_half_even", "with_perp_price", "with_size_up",
 ]

@@ -15,30 +15,45 @@ from pyspark.sql import functions as F
 MAX_PRICE_DECIMALS = 6
 INTEGER_PRICE_ABOVE = 100_000
 PRICE_DIGITS = 5
-# Powers of ten up to this one have at most 26 significant bits, which the exact product below relies on.
-MAX_DECIMALS = 11
+# Powers of ten up to this one are exact doubles.
+EXACT_POWER = 22
 _SPLIT = float(2**27 + 1)
-_LARGEST = float(2**52)
+_LARGEST = float(2**53)
 
 
 def with_half_even(df: DataFrame, out: str, value: Column, decimals: Column) -> DataFrame:
-    """Adds ``out``: ``value`` rounded half to even at a per-row number of decimals; NULL decimals give NULL.
+    """Adds ``out``: ``value`` rounded half to even at a per-row number of decimals, any integer; NULL decimals give NULL.
 
-    Decimals below zero, down to -2, are allowed; above eleven nothing is rounded. The value is split into two halves
-    whose products with the power of ten are exact, so its distance from the midpoint is known exactly.
+    With decimals the product with the power of ten is taken with its exact error (both factors are split into halves
+    whose products are exact), so the distance from the midpoint is known exactly. Where the product is not below
+    2 ** 53 neighbouring decimals lie closer than neighbouring doubles and the value stays. Below zero the exact
+    remainder decides. Beyond EXACT_POWER places the value is first scaled by the power that is left over, which rounds once.
     """
-    a, m, c, n, h, d, s = (F.col(f"_{out}_{x}") for x in "amcnhds")
-    powers = F.array(*[F.lit(10.0**i) for i in range(MAX_DECIMALS + 1)])
+    a, m, p, e, n, d, s, v, k, r = (F.col(f"_{out}_{x}") for x in "ampendsvkr")
     up = ((d > 0) | ((d == 0) & (n % 2 == 1))).cast("double")
+    # Only a product of 2 ** 52 or more can have a midpoint below it.
+    down = ((e == -0.5) & (p == n) & (n % 2 == 1)).cast("double")
+
+    def split(x: Column) -> tuple[Column, Column]:
+        high = x * _SPLIT - (x * _SPLIT - x)
+        return high, x - high
+
+    (a1, a2), (m1, m2) = split(a), split(m)
+    fine = F.signum(v) * ((n + up - down) / m) / k
+    half = m / 2
+    over = (r > half) | ((r == half) & (((a - r) / m) % 2 == 1))
+    coarse = F.signum(v) * ((a - r) + F.when(over, m).otherwise(0.0))
     return (
-        df.withColumns({f"_{out}_a": F.abs(value), f"_{out}_v": value, f"_{out}_s": decimals})
-        .withColumns({f"_{out}_m": F.get(powers, s), f"_{out}_c": a * _SPLIT})
-        .withColumns({f"_{out}_h": c - (c - a), f"_{out}_n": F.floor(a * m).cast("double")})
-        .withColumns({f"_{out}_d": ((h * m - n) - 0.5) + (a - h) * m})
-        .withColumn(out, F.when(s == -1, F.bround(F.col(f"_{out}_v"), -1)).when(s == -2, F.bround(F.col(f"_{out}_v"), -2))
-                    .when((s > MAX_DECIMALS) | (a * m >= _LARGEST), F.col(f"_{out}_v"))
-                    .otherwise(F.signum(F.col(f"_{out}_v")) * ((n + up) / m)))
-        .drop(*[f"_{out}_{x}" for x in "amcnhdsv"])
+        df.withColumns({f"_{out}_v": value.cast("double"), f"_{out}_s": decimals.cast("int")})
+        .withColumns({f"_{out}_k": F.pow(F.lit(10.0), F.greatest(s - EXACT_POWER, F.lit(0)).cast("double")),
+                      f"_{out}_m": F.pow(F.lit(10.0), F.when(s < 0, -s).otherwise(F.least(s, F.lit(EXACT_POWER))).cast("double"))})
+        .withColumns({f"_{out}_a": F.abs(v) * k})
+        .withColumns({f"_{out}_p": a * m, f"_{out}_r": a % m})
+        .withColumns({f"_{out}_e": ((a1 * m1 - p) + a1 * m2 + a2 * m1) + a2 * m2, f"_{out}_n": F.floor(F.least(p, F.lit(_LARGEST))).cast("double")})
+        .withColumns({f"_{out}_d": ((p - n) - 0.5) + e})
+        .withColumn(out, F.when(s.isNotNull(), F.when((s < 0) & (a < _LARGEST), F.when(m < float("inf"), coarse).otherwise(0.0))
+                                .when((s < 0) | (p >= _LARGEST), v).otherwise(fine)))
+        .drop(*[f"_{out}_{x}" for x in "ampendsvkr"])
     )
 
 
@@ -60,9 +75,7 @@ def with_perp_price(df: DataFrame, out: str, price: Column, size_decimals: Colum
     digits = F.when(px == 0, 0).otherwise(F.lit(PRICE_DIGITS - 1) - F.floor(F.log10(F.abs(px)))).cast("int")
     # The five digits do not apply to a price above the limit, which is only made whole.
     first = F.when(px > INTEGER_PRICE_ABOVE, 0).otherwise(digits)
-    known = F.lit(MAX_PRICE_DECIMALS) - size_decimals
-    second = F.when((px > INTEGER_PRICE_ABOVE) | size_decimals.isNull(), MAX_DECIMALS + 1).otherwise(known)
-    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first).withColumn(
-        # Below 1e-7 five digits need more decimals than the exact rounding covers; there the text form decides.
-        f"_{out}_five", F.when(first > MAX_DECIMALS, F.format_string(f"%.{PRICE_DIGITS - 1}e", px).cast("double")).otherwise(five))
-    return with_half_even(once, out, five, second).drop(f"_{out}_px", f"_{out}_five")
+    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first)
+    twice = with_half_even(once, f"_{out}_all", five, F.lit(MAX_PRICE_DECIMALS) - size_decimals)
+    whole = (px > INTEGER_PRICE_ABOVE) | size_decimals.isNull()
+    return twice.withColumn(out, F.when(whole, five).otherwise(F.col(f"_{out}_all"))).drop(*[f"_{out}_{x}" for x in ("px", "five", "all")])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TAKER_RATE
+from ..functions import one_row_each
 
 DAY_MS = 86_400_000
 
@@ -17,14 +18,22 @@ def _number(name: str) -> Column:
 
 
 def parse_fills(fills: DataFrame) -> DataFrame:
-    """Adds the numeric columns ``size``, ``price``, ``value``, ``paid_fee`` and ``pnl``; a missing fee or PnL is 0."""
+    """Adds the numeric columns ``size``, ``price``, ``value``, ``paid_fee`` and ``pnl``; a missing fee or PnL is 0.
+
+    ``unreadable`` marks a fill with a text that is there but is no number; what depends on it is NULL, or 0 for fee and PnL.
+    """
     has = set(fills.columns)
+    unreadable = F.lit(False)
+    for name in ("sz", "px", "fee", "closedPnl"):
+        if name in has:
+            unreadable = unreadable | (F.col(name).isNotNull() & _number(name).isNull())
     zero = F.lit(0.0)
     return (
         fills.withColumn("size", _number("sz")).withColumn("price", _number("px"))
         .withColumn("value", F.col("size") * F.col("price"))
         .withColumn("paid_fee", F.coalesce(_number("fee"), zero) if "fee" in has else zero)
         .withColumn("pnl", F.coalesce(_number("closedPnl"), zero) if "closedPnl" in has else zero)
+        .withColumn("unreadable", unreadable)
     )
 
 
@@ -60,7 +69,8 @@ def newest_fills(fills: DataFrame, limit: int) -> DataFrame:
 
 
 def fee_summary(fills: DataFrame, taker_rate: float = DEFAULT_TAKER_RATE) -> DataFrame:
-    """One row: number of fills, volume, fees paid and estimated, their difference in percent, and fills without a fee.
+    """One row: number of fills, volume, fees paid and estimated, their difference in percent, fills without a fee, and
+    fills with an unreadable number, which the sums lack.
 
     The difference is NULL when no fee was paid.
     """
@@ -71,22 +81,26 @@ def fee_summary(fills: DataFrame, taker_rate: float = DEFAULT_TAKER_RATE) -> Dat
         F.coalesce(F.sum("paid_fee"), F.lit(0.0)).alias("actual_fees"),
         F.coalesce(F.sum(F.col("value") * taker_rate), F.lit(0.0)).alias("estimated_fees"),
         missing.alias("n_missing_fee"),
+        F.count_if("unreadable").alias("n_unreadable"),
     ).withColumn("fee_diff_pct", F.when(
         F.col("actual_fees") > 0, F.abs(F.col("actual_fees") - F.col("estimated_fees")) / F.col("actual_fees") * 100))
 
 
 def pnl_by_coin(fills: DataFrame, positions: DataFrame) -> DataFrame:
-    """Realized and unrealized PnL, fees and volume of every coin in either table, sorted by coin.
+    """Realized and unrealized PnL, fees and volume of every coin in either table, sorted by coin, and how many of its
+    fills have an unreadable number. A NaN stays NaN.
 
     ``positions``: ``(coin, unrealized_pnl)`` with one row for each coin. Fills fold map-side, so a hot coin costs a
     row for each task; the join sees one row for each coin.
     """
     realized = parse_fills(fills).groupBy("coin").agg(
-        F.sum("pnl").alias("realized_pnl"), F.sum("paid_fee").alias("fees"), F.sum("value").alias("volume"))
+        F.sum("pnl").alias("realized_pnl"), F.sum("paid_fee").alias("fees"), F.sum("value").alias("volume"),
+        F.count_if("unreadable").alias("n_unreadable"))
+    held = one_row_each(positions.select("coin", "unrealized_pnl"), ["coin"], "positions")
     return (
-        realized.join(positions.select("coin", "unrealized_pnl"), "coin", "full_outer")
-        .fillna(0.0, ["realized_pnl", "unrealized_pnl", "fees", "volume"])
-        .select("coin", "realized_pnl", "unrealized_pnl", "fees", "volume")
+        realized.join(held, "coin", "full_outer")
+        .select("coin", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("realized_pnl", "unrealized_pnl", "fees", "volume")],
+                F.coalesce("n_unreadable", F.lit(0).cast("bigint")).alias("n_unreadable"))
         .orderBy("coin")
     )
 
@@ -96,9 +110,9 @@ def pnl_totals(pnl: DataFrame) -> DataFrame:
     return (
         pnl.rollup("coin").agg(
             F.sum("realized_pnl").alias("realized_pnl"), F.sum("unrealized_pnl").alias("unrealized_pnl"),
-            F.sum("fees").alias("fees"), F.sum("volume").alias("volume"), F.grouping("coin").alias("_all"))
+            F.sum("fees").alias("fees"), F.sum("volume").alias("volume"), F.sum("n_unreadable").alias("n_unreadable"), F.grouping("coin").alias("_all"))
         .select(
             F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("coin")).alias("coin"), "realized_pnl", "unrealized_pnl",
-            (F.col("realized_pnl") + F.col("unrealized_pnl")).alias("total_pnl"), "fees", "volume", "_all")
+            (F.col("realized_pnl") + F.col("unrealized_pnl")).alias("total_pnl"), "fees", "volume", "n_unreadable", "_all")
         .orderBy("_all", "coin").drop("_all")
     )

@@ -13,6 +13,7 @@ from ..functions import chunk_of, day_index, on_schedule, plus_days
 
 def price_returns(prices: DataFrame, chunk_days: int = 32) -> DataFrame:
     """``(date, id, ret)``: close over the asset's previous row, minus one; NULL on its first row or after a zero.
+    A pair of date and id that occurs twice raises an error.
 
     A window over ``id`` alone would put the whole history of one asset into one task. Here history is cut into
     calendar chunks: the last close of every chunk is computed first (a small aggregate, folded map-side), handed to
@@ -26,9 +27,13 @@ def price_returns(prices: DataFrame, chunk_days: int = 32) -> DataFrame:
         F.lit(True).alias("_extra"),
     ).where(F.col("_chunk").isNotNull())
     rows = chunked.withColumn("_extra", F.lit(False)).unionByName(handed_on)
-    before = F.lag("close").over(Window.partitionBy("id", "_chunk").orderBy("date"))
+    by_date = Window.partitionBy("id", "_chunk").orderBy("date")
+    before = F.lag("close").over(by_date)
+    # Rows of one asset and date are neighbours here, so repeats are seen without another pass.
+    repeated = F.raise_error(F.concat(F.lit("Repeated (date, id) in prices: "), F.col("date").cast("string"), F.lit(", "), F.col("id").cast("string")))
     return (
-        rows.select("date", "id", "_extra", (F.try_divide(F.col("close"), before) - 1).alias("ret"))
+        rows.select("date", "id", "_extra", F.when(F.lag("date").over(by_date) == F.col("date"), repeated.cast("double")).otherwise(
+            F.try_divide(F.col("close"), before) - 1).alias("ret"))
         .where(~F.col("_extra"))
         .select("date", "id", "ret")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import one_row_each
+
 # The layout of an account's state document. All numbers are strings.
 ACCOUNT_STATE_SCHEMA = (
     "marginSummary struct<accountValue:string,totalNtlPos:string,totalMarginUsed:string,totalRawUsd:string>, "
@@ -21,23 +23,38 @@ def parse_state(states: DataFrame, state_column: str = "state") -> DataFrame:
 
 
 def _number(text: str, default: float | None = 0.0) -> Column:
+    """A text as a number: the default where there is none, NULL where it is no number."""
     number = F.expr(f"try_cast({text} AS double)")
-    return number if default is None else F.coalesce(number, F.lit(default))
+    return number if default is None else F.when(F.expr(f"{text} IS NULL"), F.lit(default)).otherwise(number)
+
+
+def _unreadable(*texts: str) -> Column:
+    out = F.lit(False)
+    for text in texts:
+        out = out | F.expr(f"{text} IS NOT NULL AND try_cast({text} AS double) IS NULL")
+    return out
 
 
 def open_positions(states: DataFrame, account: str = "account", state_column: str = "state") -> DataFrame:
-    """Open positions ``(account, coin, szi, entryPx, liquidationPx, marginUsed)`` of parsed account states."""
+    """Open positions ``(account, coin, szi, entryPx, liquidationPx, marginUsed, unreadable)`` of parsed account states.
+
+    A position with a text that is no number is kept, with NULL in its place and ``unreadable`` set.
+    """
     return (
         states.select(account, F.explode(f"{state_column}.assetPositions").alias("_a"))
         .select(account, "_a.position.*")
         .select(account, "coin", _number("szi").alias("szi"), _number("entryPx").alias("entryPx"),
-                _number("liquidationPx", None).alias("liquidationPx"), _number("marginUsed", None).alias("marginUsed"))
-        .where(F.col("szi") != 0)
+                _number("liquidationPx", None).alias("liquidationPx"), _number("marginUsed", None).alias("marginUsed"),
+                _unreadable("szi", "entryPx", "liquidationPx", "marginUsed").alias("unreadable"))
+        .where(F.col("szi").isNull() | (F.col("szi") != 0))
     )
 
 
 def account_metrics(states: DataFrame, account: str = "account", state_column: str = "state") -> DataFrame:
-    """Value, margin, free collateral and leverage of each parsed account state."""
+    """Value, margin, free collateral and leverage of each parsed account state.
+
+    A missing entry counts as 0; one that is no number gives NULL, also in what is computed from it, and sets ``unreadable``.
+    """
     margin, cross = f"{state_column}.marginSummary", f"{state_column}.crossMarginSummary"
     value = F.col("account_value")
     has_cross = F.col(cross).isNotNull()
@@ -50,13 +67,18 @@ def account_metrics(states: DataFrame, account: str = "account", state_column: s
             "withdrawable": _number(f"{state_column}.withdrawable"),
         })
         .withColumn("free_collateral", value - F.col("margin_used"))
-        .withColumn("current_leverage", F.when(value > 0, F.col("total_position_value") / value).otherwise(0.0))
+        .withColumn("current_leverage", F.when(value.isNotNull(), F.when(
+            value > 0, F.col("total_position_value") / value).otherwise(0.0)))
         .withColumn("cross_leverage", F.when(
-            has_cross, F.when(value > 0, _number(f"{cross}.accountValue") / value).otherwise(0.0)))
+            has_cross & value.isNotNull(), F.when(value > 0, _number(f"{cross}.accountValue") / value).otherwise(0.0)))
         .withColumn("cross_margin_used", F.when(has_cross, _number(f"{cross}.totalMarginUsed")))
         .withColumn("cross_maintenance_margin", F.when(has_cross, _number(f"{cross}.totalMaintenanceMargin")))
+        .withColumn("unreadable", _unreadable(
+            *[f"{margin}.{n}" for n in ("accountValue", "totalNtlPos", "totalMarginUsed", "totalRawUsd")], f"{state_column}.withdrawable",
+            *[f"{cross}.{n}" for n in ("accountValue", "totalMarginUsed", "totalMaintenanceMargin")]))
         .select(account, "account_value", "total_position_value", "margin_used", "free_collateral", "cash_balance",
-                "withdrawable", "current_leverage", "cross_leverage", "cross_margin_used", "cross_maintenance_margin")
+                "withdrawable", "current_leverage", "cross_leverage", "cross_margin_used", "cross_maintenance_margin",
+                "unreadable")
     )
 
 
@@ -68,7 +90,7 @@ def mark_to_market(positions: DataFrame, mids: DataFrame) -> DataFrame:
     size, entry, mark = F.col("szi"), F.col("entry_price"), F.col("mark_price")
     return (
         positions.where(F.col("szi") != 0)
-        .join(mids.select("coin", "mid"), "coin", "left")
+        .join(one_row_each(mids.select("coin", "mid"), ["coin"], "mids"), "coin", "left")
         .withColumn("entry_price", F.coalesce("entryPx", F.lit(0.0)))
         .withColumn("mark_price", F.coalesce("mid", "entry_price"))
         .withColumn("side", F.when(size > 0, "LONG").otherwise("SHORT"))
@@ -109,6 +131,6 @@ def exposure_percent(exposures: DataFrame, account_value: Column) -> DataFrame:
     )
 
 
-def position_list(marked: DataFrame) -> DataFrame:
-    """Largest absolute value first, then by coin."""
-    return marked.orderBy(F.abs("value").desc(), "coin")
+def position_list(marked: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Largest absolute value first, then by the keys of a position."""
+    return marked.orderBy(F.abs("value").desc(), *(keys or ["coin"]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def latest_snapshot(positions: DataFrame) -> DataFrame:
     """Positions of the last rebalance, largest absolute weight first, then by id."""
     last = positions.agg(F.max("date")).scalar()
-    return positions.where(F.col("date") == last).orderBy(F.abs("weight").desc(), "id")
+    weight = F.format_string("%.10e", F.abs("weight")).cast("double")  # equal shares may differ in their last bits
+    return positions.where(F.col("date") == last).orderBy(weight.desc(), "id")
 
 
 def snapshot_counts(snapshot: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def asset_history(positions: DataFrame) -> DataFrame:
 
 def by_consistency(history: DataFrame) -> DataFrame:
     """Most often held first, then largest absolute average weight, then id."""
-    return history.orderBy(F.col("times_held").desc(), F.abs("avg_weight").desc(), "id")
+    weight = F.format_string("%.10e", F.abs("avg_weight")).cast("double")  # last bits of an average depend on the order of its rows
+    return history.orderBy(F.col("times_held").desc(), weight.desc(), "id")
 
 
 def most_consistent(history: DataFrame) -> DataFrame:

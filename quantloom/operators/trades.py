@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TAKER_RATE
-from ..functions import with_half_even, with_perp_price, with_size_up
+from ..functions import one_row_each, with_half_even, with_perp_price, with_size_up
 
 # Order of execution, risk first, and the reasons for a skipped trade.
 PRIORITY = {"close": 0, "reduce": 1, "flip": 1, "increase": 2, "open": 3}
 DEFAULT_SIZE_DECIMALS = 2
 NO_MID = "No mid price available"
 NO_DECIMALS = "Unknown szDecimals (meta)"
+NOT_A_NUMBER = "Target or position is not a number"
+ZERO_SIZE = ("Rounded size is 0 at ", " dp")
+BELOW_MINIMUM = "Below minimum ${}"
+BELOW_AFTER_FORCE = "Below minimum even after force composition (${})"
 
 TRADE_COLUMNS = ["coin", "is_buy", "sz", "price", "current_value", "target_value", "delta_value", "type",
                  "estimated_fee", "skipped", "skip_reason", "force", "force_id", "force_seq"]
@@ -35,8 +39,8 @@ def market_table(mids: DataFrame, universe: DataFrame) -> DataFrame:
 
     A price is NULL unless there is a positive mid, decimals are NULL unless the coin is listed.
     """
-    priced = mids.where(F.col("mid") > 0).select("coin", F.col("mid").alias("price"))
-    return priced.join(size_decimals(universe), "coin", "full_outer")
+    priced = mids.where((F.col("mid") > 0) & ~F.isnan("mid")).select("coin", F.col("mid").alias("price"))
+    return one_row_each(priced, ["coin"], "mids").join(one_row_each(size_decimals(universe), ["coin"], "universe"), "coin", "full_outer")
 
 
 def trade_deltas(targets: DataFrame, positions: DataFrame, market: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,8 +53,10 @@ def trade_deltas(targets: DataFrame, positions: DataFrame, market: DataFrame, ke
     """
     price = F.col("price")
     return (
-        targets.select(*keys, "target_value").join(positions.select(*keys, "szi"), keys, "full_outer")
-        .fillna(0.0, ["target_value", "szi"])
+        one_row_each(targets.select(*keys, "target_value"), keys, "targets")
+        .join(one_row_each(positions.select(*keys, "szi"), keys, "positions"), keys, "full_outer")
+        # A coin that one book lacks counts as 0 there; NaN stays, as it says that a number is wrong, not that there is none.
+        .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("target_value", "szi")})
         .join(market, "coin", "left")
         .withColumn("current_value", F.col("szi") * price)
         .withColumn("delta_value", F.col("target_value") - F.col("current_value"))
@@ -81,6 +87,7 @@ def plan_trades(targets: DataFrame, positions: DataFrame, mids: DataFrame, unive
     priced = with_half_even(deltas, "rounded_size", F.col("size"), F.col("size_decimals"))
     current, target, delta, price = (F.col(c) for c in ("current_value", "target_value", "delta_value", "price"))
     minimum, decimals = F.lit(float(min_trade_value)), F.col("size_decimals")
+    wrong = F.isnan("delta_value")
     too_small = F.abs(F.col("rounded_size") * price) < minimum
     forced = too_small & (target == 0) & F.lit(force)
 
@@ -92,13 +99,14 @@ def plan_trades(targets: DataFrame, positions: DataFrame, mids: DataFrame, unive
     reason = (
         F.when(price.isNull(), NO_MID)
         .when(decimals.isNull(), NO_DECIMALS)
-        .when(F.col("rounded_size") == 0, F.concat(F.lit("Rounded size is 0 at "), decimals.cast("string"), F.lit(" dp")))
-        .when(forced & ~chain_ok, f"Below minimum even after force composition (${float(min_trade_value)})")
-        .when(too_small & ~forced, f"Below minimum ${float(min_trade_value)}")
+        .when(wrong, NOT_A_NUMBER)
+        .when(F.col("rounded_size") == 0, F.concat(F.lit(ZERO_SIZE[0]), decimals.cast("string"), F.lit(ZERO_SIZE[1])))
+        .when(forced & ~chain_ok, BELOW_AFTER_FORCE.format(float(min_trade_value)))
+        .when(too_small & ~forced, BELOW_MINIMUM.format(float(min_trade_value)))
     )
     none = F.lit(None)
     # A trade that was skipped before it was fully known keeps only its coin and target.
-    partial = price.isNull() | decimals.isNull() | (F.col("rounded_size") == 0) | (forced & ~chain_ok)
+    partial = price.isNull() | decimals.isNull() | wrong | (F.col("rounded_size") == 0) | (forced & ~chain_ok)
 
     def known(value: Column) -> Column:
         return F.when(~F.coalesce(partial, F.lit(True)), value)
@@ -185,9 +193,9 @@ def target_totals(targets: DataFrame, group: list[str] | None = None) -> DataFra
         F.abs(F.coalesce(F.sum(F.when(value < 0, value)), F.lit(0.0))).alias("target_short"))
 
 
-def plan_rows(plan: DataFrame) -> DataFrame:
-    """Executable trades first, then the largest change first."""
-    return plan.orderBy("skipped", F.coalesce(F.abs("delta_value"), F.lit(0.0)).desc(), "coin")
+def plan_rows(plan: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Executable trades first, then the largest change first; equal ones by their keys."""
+    return plan.orderBy("skipped", F.coalesce(F.abs("delta_value"), F.lit(0.0)).desc(), *(keys or ["coin"]))
 
 
 def rounded_prices(prices: DataFrame, universe: DataFrame, price: str = "price") -> DataFrame:

@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 # Fixed value: smallest exponent, so power 0 means (almost exactly) equal weights.
 MIN_POWER = 1e-6
+# Parts into which a book is cut to meet the accounts.
+BOOK_PARTS = 16
 
 
 def raw_weight(rank: Column, count: Column, power: Column) -> Column:
     return F.pow((count - rank + 1) / F.greatest(count, F.lit(1)), F.greatest(power, F.lit(MIN_POWER)))
 
 
-def rank_sums(num: str, power: str) -> Column:
-    """Array whose m-th entry is the sum of the raw weights of a side of m assets, for m from 1 to ``num``.
+def rank_sums(num: int, power: float) -> list[float]:
+    """The m-th number is the sum of the raw weights of a side of m assets, for m from 1 to ``num``.
 
-    It lets every row find its normalised weight on its own, without a window over the side.
+    It lets every row find its normalised weight on its own, without a window over the side. Each sum follows from the
+    one before, as the weights of m assets are those of m - 1 scaled by ((m - 1) / m) ** power, and one more of 1.
     """
-    return F.expr(f"""
-        transform(CASE WHEN {num} > 0 THEN sequence(1, {num}) ELSE array() END,
-                  m -> aggregate(sequence(1, m), 0D,
-                                 (total, i) -> total + power((m - i + 1) / m, greatest({power}, {MIN_POWER}D))))""")
+    power, sums, last = max(power, MIN_POWER), [], 0.0
+    for m in range(1, num + 1):
+        last = 1.0 + last * ((m - 1) / m) ** power
+        sums.append(last)
+    return sums
 
 
 def with_unit_weights(rows: DataFrame, ranked: list[str]) -> DataFrame:
@@ -92,21 +96,21 @@ def weights_from_ranks(selection: DataFrame, predictions: DataFrame, group: list
     )
 
 
-def target_notionals(weights: DataFrame, accounts: DataFrame, leverage: float | None = None) -> DataFrame:
+def target_notionals(weights: DataFrame, accounts: DataFrame, leverage: float | None = None, group: list[str] | None = None) -> DataFrame:
     """Weights times account value for every ``(account, value)`` that is positive: ``(account, id, target_value)``.
 
-    Weights carry the target leverage already. With ``leverage`` given and not positive there are no targets. The
-    weights are one row for each chosen asset; they are exploded out of one collected row so that each account gets
-    them without a join, and the accounts stay where they are.
+    Weights carry the target leverage already. With ``leverage`` given and not positive there are no targets. ``group``
+    names columns of both tables, for instance a strategy, by which an account gets its book; they are kept. Every account
+    meets every asset of its book, which is the result. Both sides are joined on the group and a part of the book, so
+    neither has to be held in one place; a small book is broadcast by its size at run time.
     """
-    funded = accounts.where(F.col("value") > 0)
+    group = group or []
+    funded = accounts.where((F.col("value") > 0) & ~F.isnan("value"))  # NaN is greater than any number in Spark
     if leverage is not None and leverage <= 0:
         funded = funded.where(F.lit(False))
-    book = weights.agg(F.collect_list(F.struct("id", "weight")).alias("book")).scalar()
-    return (
-        funded.select("account", "value", F.explode(book).alias("w"))
-        .select("account", F.col("w.id").alias("id"), (F.col("w.weight") * F.col("value")).alias("target_value"))
-    )
+    book = weights.select(*group, "id", "weight", F.pmod(F.xxhash64("id"), F.lit(BOOK_PARTS)).cast("int").alias("_part"))
+    parts = funded.select(*group, "account", "value", F.explode(F.sequence(F.lit(0), F.lit(BOOK_PARTS - 1))).alias("_part"))
+    return parts.join(book, [*group, "_part"]).select(*group, "account", "id", (F.col("weight") * F.col("value")).alias("target_value"))
 
 
 def undersized(targets: DataFrame, min_trade_value: float) -> DataFrame:

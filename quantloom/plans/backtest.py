@@ -55,28 +55,23 @@ def scheduled_panel(prices: DataFrame, predictions: DataFrame, window: TradingWi
         "rebalance_days", "k", "date", "id", "rank_top", "rank_bottom", "n_assets"))
 
 
-def with_rank_sums(params: DataFrame) -> DataFrame:
-    return params.select("*", rank_sums("num_long", "rank_power").alias("long_sums"),
-                         rank_sums("num_short", "rank_power").alias("short_sums"))
-
-
 RANKS = ("rank_top", "rank_bottom", "n_assets")
 RUN_SCHEMA = (
     "run bigint not null, rebalance_days int not null, num_long int not null, num_short int not null, "
-    "rank_power double not null")
+    "rank_power double not null, long_sums array<double>, short_sums array<double>")
 Runs = Callable[[DataFrame], DataFrame]
 
 
-def runs_of(params: DataFrame) -> Runs:
-    """Gives each row all runs of its rebalance schedule. ``params`` is a table of checked size:
-    ``(run, rebalance_days, num_long, num_short, rank_power)``."""
-    return lambda rows: rows.join(F.broadcast(with_rank_sums(params)), "rebalance_days")
-
-
-def single_run(spark: SparkSession, params: StrategyParams) -> Runs:
-    """The parameter table of one run."""
-    return runs_of(spark.createDataFrame(
-        [(0, params.rebalance_days, params.num_long, params.num_short, float(params.rank_power))], RUN_SCHEMA))
+def runs_of(spark: SparkSession, params: list[tuple[int, StrategyParams]]) -> Runs:
+    """Gives each row all runs of its rebalance schedule. The table of numbered runs is sent to every task if it is within
+    the bounds of this module, else joined by a shuffle."""
+    sums = {key: rank_sums(*key) for _, p in params for key in ((p.num_long, p.rank_power), (p.num_short, p.rank_power))}
+    table = spark.createDataFrame(
+        [(run, p.rebalance_days, p.num_long, p.num_short, float(p.rank_power), sums[p.num_long, p.rank_power], sums[p.num_short, p.rank_power])
+         for run, p in params], RUN_SCHEMA)
+    numbers = sum(p.num_long + p.num_short for _, p in params)
+    within = len(params) <= MAX_RUNS_PER_PLAN and numbers <= MAX_NUMBERS_PER_PLAN
+    return lambda rows: rows.join(F.broadcast(table) if within else table, "rebalance_days")
 
 
 def _uses_of_step(panel: ScheduledPanel) -> DataFrame:
@@ -194,7 +189,7 @@ class BacktestResult:
     def __init__(self, panel: ScheduledPanel, config: BacktestConfig):
         self.panel, self.config, self.window = panel, config, panel.window
         self._leverage = max(config.params.leverage, 0.0)
-        self._run = single_run(panel.calendar.sparkSession, config.params)
+        self._run = runs_of(panel.calendar.sparkSession, [(0, config.params)])
 
     @cached_property
     def daily(self) -> DataFrame:

@@ -7,16 +7,17 @@ from dataclasses import dataclass, fields, replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, StrategyParams
 from ..operators.panel import trading_window
 from ..operators.statistics import histograms, performance_stats
 from .backtest import (
-    MAX_NUMBERS_PER_PLAN, MAX_RUNS_PER_PLAN, RUN_SCHEMA, BacktestResult, leveraged_daily, run_backtest, run_flows, runs_of, scheduled_panel,
+    MAX_NUMBERS_PER_PLAN, MAX_RUNS_PER_PLAN, BacktestResult, leveraged_daily, run_backtest, run_flows, runs_of, scheduled_panel,
 )
 
+# The columns of a sweep's result.
 PARAM_COLUMNS = ["num_long", "num_short", "leverage", "rebalance_days", "rank_power"]
 METRIC_COLUMNS = ["sharpe", "cagr", "calmar", "sortino", "max_dd", "volatility", "win_rate", "final_equity"]
 # Metric name in a sweep's result -> name among the performance statistics.
@@ -32,12 +33,13 @@ RESULT_SCHEMA = "run_key string, num_long int, num_short int, leverage double, r
 def parameter_grid(base: StrategyParams, num_longs: Sequence[int] | None = None, num_shorts: Sequence[int] | None = None,
                    leverages: Sequence[float] | None = None, rebalance_days: Sequence[int] | None = None,
                    rank_powers: Sequence[float] | None = None) -> list[StrategyParams]:
-    """All combinations; a list that is not given takes the base value. Repeated combinations are dropped."""
+    """All combinations; a list that is not given takes the base value, an empty one leaves none. Repeats are dropped."""
     return list(dict.fromkeys(
         StrategyParams(nl, ns, float(lev), days, float(power))
         for nl, ns, lev, days, power in product(
-            num_longs or [base.num_long], num_shorts or [base.num_short], leverages or [base.leverage],
-            rebalance_days or [base.rebalance_days], rank_powers or [base.rank_power])))
+            *(given if given is not None else [own] for given, own in (
+                (num_longs, base.num_long), (num_shorts, base.num_short), (leverages, base.leverage),
+                (rebalance_days, base.rebalance_days), (rank_powers, base.rank_power))))))
 
 
 def grid_table(spark: SparkSession, grid: Sequence[StrategyParams]) -> DataFrame:
@@ -61,7 +63,7 @@ def _slices(grid: Sequence[StrategyParams], max_runs: int) -> Iterator[Sequence[
 
 
 def sweep_daily(prices: DataFrame, predictions: DataFrame, grid: Sequence[StrategyParams], config: BacktestConfig,
-                max_runs: int = MAX_RUNS_PER_PLAN) -> DataFrame | None:
+                max_runs: int = MAX_RUNS_PER_PLAN, returns: DataFrame | None = None) -> DataFrame | None:
     """``(num_long ... rank_power, date, returns, equity, drawdown, turnover)`` of every combination, or None.
 
     Grids beyond the broadcast bound are cut into slices whose plans are united, so the broadcast parameter table keeps
@@ -72,7 +74,7 @@ def sweep_daily(prices: DataFrame, predictions: DataFrame, grid: Sequence[Strate
         return None
     panel = scheduled_panel(
         prices, predictions, window, sorted({p.rebalance_days for p in grid}), config.prediction_lag_days,
-        max(p.num_long for p in grid), max(p.num_short for p in grid))
+        max(p.num_long for p in grid), max(p.num_short for p in grid), returns)
     spark = prices.sparkSession
     return reduce(DataFrame.unionByName, [_slice_daily(spark, panel, part, config) for part in _slices(grid, max_runs)])
 
@@ -80,25 +82,24 @@ def sweep_daily(prices: DataFrame, predictions: DataFrame, grid: Sequence[Strate
 def _slice_daily(spark: SparkSession, panel, grid: Sequence[StrategyParams], config: BacktestConfig) -> DataFrame:
     base_of = {p: replace(p, leverage=1.0) for p in grid}
     run_of = {b: i for i, b in enumerate(dict.fromkeys(base_of.values()))}
-    params = spark.createDataFrame(
-        [(i, b.rebalance_days, b.num_long, b.num_short, b.rank_power) for b, i in run_of.items()],
-        RUN_SCHEMA)
     variants = spark.createDataFrame(
         [(run_of[base_of[p]], i, max(p.leverage, 0.0)) for i, p in enumerate(grid)],
         "run bigint, run_id bigint, leverage double",
     ).groupBy("run").agg(F.collect_list(F.struct("run_id", "leverage")).alias("variants"))
-    daily = leveraged_daily(run_flows(panel, runs_of(params)), variants, config)
+    daily = leveraged_daily(run_flows(panel, runs_of(spark, [(i, b) for b, i in run_of.items()])), variants, config)
     return daily.join(F.broadcast(grid_table(spark, grid)), "run_id").select(
         "run", *PARAM_COLUMNS, "date", "returns", "equity", "drawdown", "turnover")
 
 
 def run_sweep(prices: DataFrame, predictions: DataFrame, grid: Sequence[StrategyParams], config: BacktestConfig,
-              max_runs: int = MAX_RUNS_PER_PLAN) -> DataFrame:
+              max_runs: int = MAX_RUNS_PER_PLAN, returns: DataFrame | None = None) -> DataFrame:
     """One row for each combination: its parameters and eight metrics. NaN metrics become 0, infinities stay.
 
+    ``returns`` takes a stored result of ``price_returns``.
+
     Combinations without any trading date yield no row.
     """
-    daily = sweep_daily(prices, predictions, grid, config, max_runs)
+    daily = sweep_daily(prices, predictions, grid, config, max_runs, returns)
     if daily is None:
         return prices.sparkSession.createDataFrame([], RESULT_SCHEMA).drop("run_key")
     # `run` comes first so that the rows are summed where the equity curve left them.
@@ -167,9 +168,18 @@ def within_drawdown(results: DataFrame, limit: float | None) -> DataFrame:
     return results if limit is None else results.where(F.col("max_dd") >= -limit)
 
 
+def rank_order(metric: str) -> list[Column]:
+    """Best metric first; equal ones by their parameters.
+
+    Metrics count as equal if they agree in eleven digits: runs that differ in leverage only have the same Sharpe ratio, but
+    not the same last bits, and sums may differ in those from one execution to the next.
+    """
+    return [F.format_string("%.10e", metric).cast("double").desc(), *[F.col(c) for c in PARAM_COLUMNS]]
+
+
 def rank_results(results: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """Best metric first; equal ones by their parameters."""
-    return results.orderBy(F.col(metric).desc(), *PARAM_COLUMNS)
+    """Results in :func:`rank_order`."""
+    return results.orderBy(*rank_order(metric))
 
 
 def best_params(results: DataFrame, metric: str = "sharpe") -> DataFrame:
@@ -182,7 +192,7 @@ def best_params(results: DataFrame, metric: str = "sharpe") -> DataFrame:
 def top_results(results: DataFrame, metric: str = "sharpe", top_n: int = 20) -> DataFrame:
     """The best ``top_n`` rows with their place, from 1."""
     first = rank_results(results, metric).limit(top_n)
-    order = Window.partitionBy().orderBy(F.col(metric).desc(), *PARAM_COLUMNS)  # over top_n rows only
+    order = Window.partitionBy().orderBy(*rank_order(metric))  # over top_n rows only
     return first.withColumn("place", F.row_number().over(order))
 
 
@@ -218,7 +228,7 @@ def heatmap_extremes(results: DataFrame, metric: str = "sharpe") -> DataFrame:
 
 def heatmap_best_cells(results: DataFrame, metric: str = "sharpe") -> DataFrame:
     """Cell with the highest mean of each leverage; of equal ones the smallest num_long, then num_short."""
-    cell = F.struct(F.col("mean"), (-F.col("num_long")).alias("l"), (-F.col("num_short")).alias("s"))
+    cell = F.struct(F.format_string("%.10e", "mean").cast("double").alias("key"), (-F.col("num_long")).alias("l"), (-F.col("num_short")).alias("s"), F.col("mean"))
     return (
         heatmap_cells(results, metric).groupBy("leverage").agg(F.max(cell).alias("_c"))
         .select("leverage", (-F.col("_c.l")).alias("num_long"), (-F.col("_c.s")).alias("num_short"),
@@ -232,11 +242,11 @@ def metric_histograms(results: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def apply_best(prices: DataFrame, predictions: DataFrame, results: DataFrame, config: BacktestConfig,
-               metric: str = "sharpe") -> BacktestResult | None:
+               metric: str = "sharpe", returns: DataFrame | None = None) -> BacktestResult | None:
     """A full backtest with the best parameters, or None when there are no results. Brings one row to the driver."""
     row = best_params(results, metric).first()
     if row is None:
         return None
     return run_backtest(prices, predictions, config.with_params(
         num_long=row["num_long"], num_short=row["num_short"], leverage=row["target_leverage"],
-        rebalance_days=row["rebalance_every_n_days"], rank_power=row["rank_power"]))
+        rebalance_days=row["rebalance_every_n_days"], rank_power=row["rank_power"]), returns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +29,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "qua
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and remembered for the session.
+    Only where the session names none and runs on one machine (master ``local``: tests, a laptop) a temporary folder is made,
+    remembered for the session and removed when Python ends. On a cluster it has to be named.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quantloom.shared.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="quantloom-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("quantloom.shared.dir", configured)
     return configured
 
@@ -41,6 +47,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_path(spark: SparkSession, path: str, below: str | None = None) -> None:
+    """Delete a folder made by :func:`work_path` (or one below ``below``), in whatever store it is, once nothing reads it any more."""
+    above = (below or shared_dir(spark)).rstrip("/") + "/"
+    if not path.startswith(above):
+        raise ValueError(f"{path} is not below {above}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partition count for explicit repartitioning ahead of a fan-out, which AQE would otherwise size by input bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,7 @@
 from .live import (
-    current_predictions, marked_positions, running_pnl, trailing_totals, write_appends, write_changes, read_latest,
+    compact, current_predictions, daily_totals, marked_positions, newest_marks, read_latest, running_pnl, trailing_totals, write_appends,
+    write_changes,
 )
 
-__all__ = ["current_predictions", "marked_positions", "read_latest", "running_pnl", "trailing_totals", "write_appends",
-           "write_changes"]
+__all__ = ["compact", "current_predictions", "daily_totals", "marked_positions", "newest_marks", "read_latest", "running_pnl",
+           "trailing_totals", "write_appends", "write_changes"]

@@ -7,12 +7,15 @@ batch overwrites its own files, so results survive restarts without duplicates.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fills import parse_fills
+from ..session import child_names, remove_path
 
 
 def running_pnl(fills: DataFrame) -> DataFrame:
@@ -22,21 +25,44 @@ def running_pnl(fills: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_fills"))
 
 
-def trailing_totals(fills: DataFrame, days: int, time_column: str = "ts", late_days: int = 1) -> DataFrame:
-    """Volume and fees over ``days`` days, a new window every day; fills later than the watermark are dropped.
+def daily_totals(fills: DataFrame, time_column: str = "ts", late_days: int = 1) -> DataFrame:
+    """Volume and fees of each day; fills later than the watermark are dropped.
 
-    Windows start at midnight of the session time zone when that is UTC.
+    The state is one row for each open day, whatever windows are read from it: see :func:`trailing_totals`. Days start at
+    midnight of the session time zone when that is UTC.
     """
     return (
         parse_fills(fills).withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, f"{late_days} days")
-        .groupBy(F.window(time_column, f"{days} days", "1 day").alias("w"))
+        .groupBy(F.window(time_column, "1 day").alias("w"))
         .agg(F.sum("value").alias("volume"), F.sum("paid_fee").alias("fees"), F.count(F.lit(1)).alias("n_fills"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "volume", "fees", "n_fills")
+        .select(F.col("w.start").alias("day"), "volume", "fees", "n_fills")
     )
 
 
+def trailing_totals(daily: DataFrame, days: int) -> DataFrame:
+    """Volume and fees over ``days`` days, a window for every day, from the current rows of :func:`daily_totals`.
+
+    Only one row for each day is copied into the windows that it belongs to, never a fill.
+    """
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.col("day") - F.make_dt_interval(k.cast("int"))))
+    return (
+        daily.select(start.alias("window_start"), "volume", "fees", "n_fills").groupBy("window_start")
+        .agg(F.sum("volume").alias("volume"), F.sum("fees").alias("fees"), F.sum("n_fills").alias("n_fills"))
+        .select("window_start", (F.col("window_start") + F.make_dt_interval(F.lit(days))).alias("window_end"), "volume", "fees", "n_fills")
+    )
+
+
+def newest_marks(marks: DataFrame, time_column: str = "ts") -> DataFrame:
+    """The newest mark ``(coin, mid)`` of each coin in one micro-batch; equal times by the larger mid."""
+    return marks.groupBy("coin").agg(F.max(F.struct(time_column, "mid")).alias("_m")).select(
+        "coin", F.col(f"_m.{time_column}").alias(time_column), "_m.mid")
+
+
 def marked_positions(marks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Every mark ``(coin, mid, ...)`` of a stream applied to a static table of positions ``(coin, szi, entryPx)``."""
+    """Every mark ``(coin, mid, ...)`` of a stream applied to a static table of positions ``(coin, szi, entryPx)``.
+
+    Where only the newest price matters, apply it to :func:`newest_marks` of each micro-batch (``each`` of :func:`write_changes`).
+    """
     size, entry, mid = F.col("szi"), F.coalesce("entryPx", F.lit(0.0)), F.col("mid")
     return (
         marks.join(positions.where(F.col("szi") != 0), "coin")
@@ -51,11 +77,19 @@ def current_predictions(predictions: DataFrame) -> DataFrame:
         "id", "_p.pred_date", "_p.pred")
 
 
-def write_changes(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the rows that each micro-batch changed, in one folder for each batch below ``path``."""
+def write_changes(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None,
+                  keys: list[str] | None = None, compact_every: int = 50, **trigger) -> StreamingQuery:
+    """Keep the rows that each micro-batch changed, in one folder for each batch below ``path``.
+
+    ``each`` is applied to every micro-batch, for instance to join only its newest marks. With ``keys`` the log is
+    compacted after every ``compact_every`` batches, so what a reader has to go through does not grow with uptime.
+    """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        rows = batch if each is None else each(batch)
+        rows.write.mode("overwrite").parquet(os.path.join(path, f"{_BATCH}{batch_id}"))
+        if keys and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, path, keys)
 
     return (
         stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -63,12 +97,41 @@ def write_changes(stream: DataFrame, path: str, checkpoint: str, **trigger) -> S
     )
 
 
+# Folders of a change log, followed by a batch number.
+_BATCH, _BASE = "batch_id=", "base_upto="
+
+
+def _log(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """Number of the newest complete base, and of the batches that are newer."""
+    names = child_names(spark, path)
+    bases = [int(n.removeprefix(_BASE)) for n in names if n.startswith(_BASE) and "_SUCCESS" in child_names(spark, os.path.join(path, n))]
+    base = max(bases, default=None)
+    batches = sorted(int(n.removeprefix(_BATCH)) for n in names if n.startswith(_BATCH))
+    return base, [b for b in batches if base is None or b > base]
+
+
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Replace the batches so far by their current rows. Old folders go only once the new one is complete, so a compaction
+    that dies is done again by the next one; readers that have begun before it need to begin again."""
+    base, batches = _log(spark, path)
+    if not batches:
+        return
+    read_latest(spark, path, keys).write.mode("overwrite").parquet(os.path.join(path, f"{_BASE}{batches[-1]}"))
+    for old in [f"{_BATCH}{b}" for b in batches] + ([] if base is None else [f"{_BASE}{base}"]):
+        remove_path(spark, os.path.join(path, old), below=path)
+
+
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current row of each key: the one from the newest batch that changed it."""
-    changes = spark.read.parquet(path)
-    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    base, batches = _log(spark, path)
+    parts = [(b, f"{_BATCH}{b}") for b in batches] + ([] if base is None else [(base, f"{_BASE}{base}")])
+    if not parts:
+        raise FileNotFoundError(f"No batches below {path}")
+    rows = [spark.read.parquet(os.path.join(path, name)).withColumn("_batch", F.lit(b)) for b, name in parts]
+    changes = reduce(DataFrame.unionByName, rows)
+    values = [c for c in changes.columns if c not in (*keys, "_batch")]
     return (
-        changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+        changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
     )
 
 

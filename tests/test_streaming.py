@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quantloom import streaming as R
 from quantloom.operators.fills import pnl_by_coin
 from quantloom.operators.signals import latest_predictions
+from quantloom.session import child_names
 
 SCHEMA = "ts timestamp, coin string, sz string, px string, fee string, closedPnl string"
 
@@ -36,9 +37,9 @@ def test_running_pnl_over_batches(spark, tmp_path):
 
 def test_trailing_totals(spark, tmp_path):
     stream = files(spark, str(tmp_path / "in"), fill_parts(), SCHEMA)
-    R.write_changes(R.trailing_totals(stream, 3, late_days=30), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    R.write_changes(R.daily_totals(stream, late_days=30), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["window_start"]: (r["window_end"], r["volume"], r["n_fills"]) for r in
-           R.read_latest(spark, str(tmp_path / "out"), ["window_start", "window_end"]).collect()}
+           R.trailing_totals(R.read_latest(spark, str(tmp_path / "out"), ["day"]), 3).collect()}
     rows = [r for part in fill_parts() for r in part]
     for start, (end, volume, n) in got.items():
         inside = [r for r in rows if start <= r[0] < end]
@@ -63,3 +64,45 @@ def test_current_predictions(spark, tmp_path):
     got = R.read_latest(spark, str(tmp_path / "out"), ["id"]).select("id", "pred_date", "pred")
     batch = latest_predictions(spark.read.parquet(str(tmp_path / "in"))).select("id", "pred_date", "pred")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) == [("A", day + timedelta(days=1), 0.5), ("B", day, 6.0)]
+
+
+def test_late_fills_are_dropped(spark, tmp_path):
+    day = datetime(2024, 1, 10, 12)
+
+    def fill(when):
+        return (when, "A", "1", "10", "0.1", "0")
+
+    parts = [[fill(day)], [fill(day + timedelta(days=9))], [fill(day), fill(day + timedelta(days=8, hours=20))], [fill(day + timedelta(days=9))]]
+    stream = files(spark, str(tmp_path / "in"), parts, SCHEMA)
+    R.write_changes(R.daily_totals(stream, late_days=1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["day"].day: r["n_fills"] for r in R.read_latest(spark, str(tmp_path / "out"), ["day"]).collect()}
+    assert got == {10: 1, 18: 1, 19: 2}  # the second fill of the 10th came after the watermark, the one of the 18th did not
+
+
+def test_log_is_compacted(spark, tmp_path):
+    stream = files(spark, str(tmp_path / "in"), fill_parts(), SCHEMA)
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    R.write_changes(R.running_pnl(stream), plain, str(tmp_path / "cp1")).awaitTermination()
+    R.write_changes(R.running_pnl(stream), packed, str(tmp_path / "cp2"), keys=["coin"], compact_every=3).awaitTermination()
+    assert sorted(n for n in child_names(spark, packed) if not n.startswith(("_", "."))) == ["base_upto=2", "batch_id=3"]
+    assert len([n for n in child_names(spark, plain) if n.startswith("batch_id")]) == 4
+    a, b = (sorted(map(tuple, R.read_latest(spark, p, ["coin"]).collect())) for p in (plain, packed))
+    assert a == b
+    R.compact(spark, packed, ["coin"])
+    assert sorted(map(tuple, R.read_latest(spark, packed, ["coin"]).collect())) == a
+
+
+def test_newest_marks_meet_positions(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    positions = spark.createDataFrame([("A", 2.0, 10.0), ("B", -1.0, 10.0)], "coin string, szi double, entryPx double")
+    parts = [[(day, "A", 12.0), (day + timedelta(hours=1), "A", 13.0), (day, "B", 5.0)], [(day + timedelta(hours=2), "A", 11.0)]]
+    marks = files(spark, str(tmp_path / "in"), parts, "ts timestamp, coin string, mid double")
+    seen = []
+
+    def apply(batch):
+        seen.append(batch.count())
+        return R.marked_positions(R.newest_marks(batch), positions)
+
+    R.write_changes(marks, str(tmp_path / "out"), str(tmp_path / "cp"), each=apply).awaitTermination()
+    got = {r["coin"]: r["value"] for r in R.read_latest(spark, str(tmp_path / "out"), ["coin"]).collect()}
+    assert got == {"A": 22.0, "B": 5.0} and sum(seen) == 4

@@ -21,7 +21,7 @@ def test_rounding_matches_python(spark):
     values = [2.675, 2.665, 0.5, 1.5, 2.5, 1.005, 1e-9, 0.0, 12345.678, 5012.65, 0.025, 1e16, 123456789.123456]
     values += [rng.uniform(0, 10 ** rng.randint(-4, 6)) for _ in range(300)]
     values += [round(rng.uniform(0, 1000), 4) + 0.00005 for _ in range(300)]
-    rows = [(v * s, d) for v in values for s in (1, -1) for d in (0, 1, 2, 4, 5, 8)] + [(15.0, -1), (25.0, -1), (250.0, -2), (1.0, None)]
+    rows = [(v * s, d) for v in values for s in (1, -1) for d in range(-6, 16)] + [(15.0, -1), (25.0, -1), (250.0, -2), (1.0, None), (1.23456789012345, 12), (2.0 ** 52 + 0.5, 0), (4503599627370497.5, 0), (1e300, 5), (1e300, -5), (7.0, -400), (1e-20, 18), (5e-324, 300)]
     frame = spark.createDataFrame(rows, "v double, d int")
     for r in with_half_even(frame, "got", F.col("v"), F.col("d")).collect():
         assert r["got"] == (None if r["d"] is None else round(r["v"], r["d"])), r
@@ -29,9 +29,9 @@ def test_rounding_matches_python(spark):
 
 def test_price_rule(spark):
     rng = random.Random(4)
-    values = [100_000.0, 100_000.5, 100_001.5, 250_000.4, 99_999.5, 38228.5, 38229.5, 5012.65, 1.23456, 0.00012345678, 1e-6, 0.0, 999.9999]
+    values = [100_000.0, 100_000.5, 100_001.5, 250_000.4, 99_999.5, 38228.5, 38229.5, 5012.65, 1.23456, 0.00012345678, 1e-6, 0.0, 999.9999, 1.23456e-9, 7.654325e-12, 1024.6]
     values += [rng.uniform(0, 10 ** rng.randint(-5, 6)) for _ in range(400)]
-    rows = [(v, d) for v in values for d in (None, 0, 1, 3, 5, 7, 8)]
+    rows = [(v, d) for v in values for d in (None, 0, 1, 3, 5, 7, 8, 9, 12)]
     frame = spark.createDataFrame(rows, "px double, d int")
     for r in with_perp_price(frame, "got", F.col("px"), F.col("d")).collect():
         digits = float(f"{r['px']:.5g}")
