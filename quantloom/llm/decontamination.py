@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.store import text_of
+from quantloom.llm.store import in_arrow, text_of
 from quantloom.llm.text import Lookup, chunks, mix
 
 WIDTH = 5
@@ -186,7 +186,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id")
                      pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] + WIDTH - 1 for f in found], pa.int64())],
                     names=[id_column, "item_id", "similarity", "first_word", "n_words"])
 
-        part = rows.mapInArrow(scan, schema)
+        part = in_arrow(rows, scan, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -202,5 +202,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[row for row, _ in items.scan(batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = in_arrow(docs, clean, docs.schema)
     return docs

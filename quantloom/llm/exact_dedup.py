@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.store import landed, small, text_of
+from quantloom.llm.store import in_arrow, landed, small, text_of
 from quantloom.llm.text import text_bytes
 
 #: Two primes below 2 ** 31, so products fit 64 bits, and a base for each. Fixed values.
@@ -88,7 +88,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, chunk: int = CHUNK)
     """Rows by their keys, with ``times`` (rows of these keys, all of the same text), ``f0`` and ``f1``."""
     rows = chunk_rows(df, keys, text, chunk)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "place").schema)
-    parts = rows.mapInArrow(_fingerprints, f"{fields}, part0 long, part1 long")
+    parts = in_arrow(rows, _fingerprints, f"{fields}, part0 long, part1 long")
     sums = parts.groupBy(*keys).agg(
         F.sum((F.col("place") == 0).cast("long")).alias("times"), F.sum("part0").alias("part0"), F.sum("part1").alias("part1"))
     # Rows of the same keys add the same parts as often as they occur.

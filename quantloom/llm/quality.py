@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.stats import NAMES, statistics
-from quantloom.llm.store import held_out, landed, text_of
+from quantloom.llm.store import held_out, in_arrow, landed, text_of
 
 FEATURES = 160
 #: Width of the kernel: projections of the standardised statistics have this standard deviation.
@@ -103,7 +103,7 @@ def fit(training: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array((i * size + j).astype(np.int32)), pa.array(share[i, j])], names=["at", "v"])
 
     total = np.zeros(size * size)
-    for row in training.mapInArrow(equations, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+    for row in in_arrow(training, equations, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         total[row["at"]] = row["v"]
     full = total.reshape(size, size)
     full = np.triu(full) + np.triu(full, 1).T
@@ -118,7 +118,7 @@ def fit(training: DataFrame) -> Model | None:
             good += np.bincount(at, np.asarray(batch.column("y"), float), BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(total_), pa.array(good)], names=["at", "n", "y"])
 
-    counts = training.mapInArrow(binned, "at int, n double, y double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    counts = in_arrow(training, binned, "at int, n double, y double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     rows = sorted((r["at"], r["n"], r["y"]) for r in counts.collect() if r["n"])
     at, t, g = (np.array(v, float) for v in zip(*rows))
     model.edges, model.levels = LOW + (at + 0.5) * (HIGH - LOW) / BINS, pooled(g, t)
@@ -136,7 +136,7 @@ def bin_of(raw: np.ndarray) -> np.ndarray:
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, text_of().alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(statistics, (fields + ", " if fields else "") + "x array<double>")
+    return in_arrow(rows, statistics, (fields + ", " if fields else "") + "x array<double>")
 
 
 def train(numbers: DataFrame, labels: DataFrame) -> Model | None:
@@ -158,7 +158,7 @@ def scored(numbers: DataFrame, model: Model | None) -> DataFrame:
                 [*[batch.column(c) for c in keep], pa.array(model.score(_arrays(batch)))], names=[*keep, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbers.select(*keep).schema)
-    return numbers.mapInArrow(judge, f"{fields}, score double")
+    return in_arrow(numbers, judge, f"{fields}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,4 +183,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(table(batch.column(text))) >= THRESHOLD))
 
-    return docs.mapInArrow(good, fields)
+    return in_arrow(docs, good, fields)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantloom.session import work_path
 
 #: Largest table, in rows, that an operator broadcasts after counting it; a bigger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of an Arrow batch that goes to Python.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,17 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ARROW_ROWS rows, so that those of long texts stay small.
+
+    The setting is the session's, as the plan is run later; a smaller one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, ARROW_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A hint to broadcast a table, only where it has been counted and is small; else Spark joins by a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
