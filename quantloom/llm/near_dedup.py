@@ -13,9 +13,11 @@ threshold shares none with probability (1 - 0.75 ** ROWS) ** BANDS, about 5e-6.
 * Forest: within a bucket, dealt at random to blocks of BLOCK nodes three times over, each node proposes its most similar
   predecessor by signature. Proposals are verified on the full sets, and union-find joins what holds.
 * Rest: buckets whose nodes are still in several groups are gone through in full. Nodes outside a bucket's largest group meet all of
-  its nodes, in blocks; every pair of different groups whose signatures do not rule out the threshold is verified.
+  its nodes, in blocks. Nodes whose signatures rule the threshold out leave; the others are compared on their full sets within
+  the task, block by block, which writes only links that join groups.
 
-So no link between groups is lost but by chance of the signatures, and pairs within a group that is already joined are not looked at.
+So no link between groups is lost but by chance of the signatures, pairs within a group that is already joined are not looked at,
+and pairs are never written out in full.
 
 Defined cases: a null or empty text, and one without words, has an empty set and is linked with nothing; a text of fewer than
 five words is one shingle; a null id is never the name of a group unless all its rows lack one; rows that repeat are
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.store import landed, small, text_of
+from quantloom.llm.store import in_arrow, landed, small, text_of
 from quantloom.llm.text import chunks, mix
 
 WIDTH = 5
@@ -122,7 +124,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "mark", "n", "node", "signature", "bands"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
     """Runs of equal (bucket, part), which may go on from one batch to the next."""
     rest = None
     for batch in batches:
@@ -132,19 +134,18 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
             continue
         key = np.stack([part.column(k).to_numpy() for k in ("bucket", "part")])
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0).any(0)) + 1))
-        columns = {k: part.column(k).to_numpy() for k in names if k != "signature"}
-        data = part.column("signature")
         for i, j in zip(cuts[:-1], cuts[1:]):
-            yield _group(columns, data, i, j)
+            yield _group(part.slice(int(i), int(j - i)), names)
         rest = part.slice(int(cuts[-1]))
     if rest is not None and rest.num_rows:
-        yield _group({k: rest.column(k).to_numpy() for k in names if k != "signature"}, rest.column("signature"), 0, rest.num_rows)
+        yield _group(rest, names)
 
 
-def _group(columns: dict, data, i: int, j: int) -> dict[str, np.ndarray]:
-    out = {k: v[i:j] for k, v in columns.items()}
-    raw = b"".join(data.slice(int(i), int(j - i)).to_pylist())
-    out["signature"] = np.frombuffer(raw, np.uint16).reshape(int(j - i), PLACES)
+def _group(part: pa.Table, names: list[str]) -> dict:
+    out = {k: part.column(k) if k == "text" else part.column(k).to_numpy() for k in names if k != "signature"}
+    if "signature" in names:
+        raw = b"".join(part.column("signature").to_pylist())
+        out["signature"] = np.frombuffer(raw, np.uint16).reshape(part.num_rows, PLACES)
     return out
 
 
@@ -164,19 +165,59 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(low, high)
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups, one of them a node outside the bucket's largest group (``side`` 1)."""
-    low, high = [], []
-    for g in _groups(batches, ["node", "label", "side", "signature"]):
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a part that have a counterpart in another group which their signatures do not rule out.
+
+    ``side`` 1 marks nodes outside the bucket's largest group; each pair that is looked at has one of them.
+    """
+    names = ["bucket", "part", "node", "label", "side"]
+    for g in _groups(batches, [*names, "signature"]):
+        keep = np.zeros(len(g["node"]), bool)
         for k in np.flatnonzero(g["side"] == 1):
-            agree = (g["signature"] == g["signature"][k]).sum(1)
-            for m in np.flatnonzero((agree >= AGREE) & (g["label"] != g["label"][k])):
-                low.append(g["node"][m])
-                high.append(g["node"][k])
-        if len(low) > 50_000:
+            near = ((g["signature"] == g["signature"][k]).sum(1) >= AGREE) & (g["label"] != g["label"][k])
+            keep |= near
+            keep[k] |= near.any()
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(g[n][keep]) for n in names], names=names)
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``rows`` with all sets."""
+    keys, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(rows), len(sets)), np.int64)
+    for low in range(0, len(keys), DENSE // max(len(sets), 1) + 1):  # the shingles in slices, so memory is bounded
+        high = low + DENSE // max(len(sets), 1) + 1
+        here = (at >= low) & (at < high)
+        has = np.zeros((len(sets), min(high, len(keys)) - low), np.float32)
+        has[owner[here], at[here] - low] = 1.0
+        out += np.rint(has[rows] @ has.T).astype(np.int64)
+    return out
+
+
+#: Entries of the table of sets and shingles that is held at a time.
+DENSE = 1 << 23
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between groups in a part, on the full sets: for each node outside the largest group one to each other group."""
+    for g in _groups(batches, ["node", "label", "side", "text"]):
+        sets = list(_text_sets(g["text"]))
+        rows = np.flatnonzero(g["side"] == 1)
+        if not len(rows):
+            continue
+        sizes = np.array([len(x) for x in sets])
+        both = overlaps(sets, rows)
+        linked = 100 * both >= PERCENT * (sizes[rows][:, None] + sizes[None, :] - both)
+        linked &= g["label"][rows][:, None] != g["label"][None, :]
+        low, high = [], []
+        for i, k in enumerate(rows):
+            others = np.flatnonzero(linked[i])
+            _, first = np.unique(g["label"][others], return_index=True)
+            low += g["node"][others[first]].tolist()
+            high += [g["node"][k]] * len(first)
+        if low:
             yield _pairs(low, high)
-            low, high = [], []
-    yield _pairs(low, high)
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -184,34 +225,41 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether the full sets of two texts are similar enough."""
+def _text_sets(column) -> Iterator[np.ndarray]:
+    """The set of shingles of each text."""
+    for at, end, c in chunks(column):
+        hashes, docs = c.shingles(WIDTH)
+        bounds = np.searchsorted(docs, np.arange(end - at + 1))
+        for k in range(end - at):
+            yield np.unique(hashes[bounds[k]:bounds[k + 1]])
 
-    def sets(column):
-        for at, end, c in chunks(column):
-            hashes, docs = c.shingles(WIDTH)
-            bounds = np.searchsorted(docs, np.arange(end - at + 1))
-            for k in range(end - at):
-                yield np.unique(hashes[bounds[k]:bounds[k + 1]])
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether the full sets of two texts are similar enough."""
     for batch in batches:
         linked = np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(sets(batch.column("text_a")), sets(batch.column("text_b")))):
+        for k, (x, y) in enumerate(zip(_text_sets(batch.column("text_a")), _text_sets(batch.column("text_b")))):
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked[k] = 100 * both >= PERCENT * (len(x) + len(y) - both) and len(x) > 0
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and text of the nodes in ``wanted`` (distinct)."""
+    wanted = nodes.join(wanted, "node").select("node", F.col("best.id").alias("id"), F.col("best.mark").alias("mark"))
+    wanted = landed(wanted, "wanted")
+    same = F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark"))
+    return texts.alias("t").join(small(wanted).alias("w"), same).select("w.node", "t.text").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with ``linked``, judged on the whole texts of the nodes."""
+    """Pairs that are linked, judged on the whole texts of the nodes."""
     pairs = landed(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("best.id").alias("id"), F.col("best.mark").alias("mark"))
-    same = F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark"))
-    body = texts.alias("t").join(wanted.alias("w"), same).select("w.node", "t.text").dropDuplicates(["node"])
+    body = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts)
     rows = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(body.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return landed(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
+    judged = in_arrow(rows.select("a", "b", "text_a", "text_b"), _verify, "a long, b long, linked boolean")
+    return landed(judged.where("linked").select("a", "b"), "verified")
 
 
 def _local_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +292,7 @@ def components(links: DataFrame) -> DataFrame:
     replacements, applied one after the other, lead from a node to its label.
     """
     spark = links.sparkSession
-    links = landed(links.select("a", "b").mapInArrow(_local_union, "a long, b long"), "links")
+    links = landed(in_arrow(links.select("a", "b"), _local_union, "a long, b long"), "links")
     chain: list[DataFrame] = []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -273,11 +321,14 @@ def forest_pairs(members: DataFrame, signature: DataFrame) -> DataFrame:
     rows = members.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
     rows = rows.withColumn("part", F.col("deal").cast("long") * (1 << 40) + F.pmod(F.xxhash64("node", "bucket", "deal"), _blocks("size")))
     rows = rows.select("bucket", "part", "node").join(signature, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
-    return rows.mapInArrow(_forest, "a long, b long")
+    return in_arrow(rows, _forest, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, signature: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of different groups in buckets that have several. Rows are repeated for each block they meet."""
+def rest_links(members: DataFrame, signature: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different groups in buckets that have several, judged block by block on the whole texts.
+
+    A row is repeated for each block it meets; pairs are not written out, only links that join groups are.
+    """
     rows = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
@@ -298,14 +349,17 @@ def rest_pairs(members: DataFrame, signature: DataFrame, labels: DataFrame) -> D
     among = among.select("bucket", "node", "label", "x.side", "x.part")
     every = queries.unionByName(answers).unionByName(among).join(signature, "node")
     every = every.select("bucket", "part", "node", "label", "side", "signature").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return every.mapInArrow(_rest, "a long, b long")
+    open_ = landed(in_arrow(every, _open, "bucket long, part long, node long, label long, side int"), "open")
+    full = open_.join(texts_of(open_.select("node").distinct(), nodes, texts), "node")
+    full = full.select("bucket", "part", "node", "label", "side", "text").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return landed(in_arrow(full, _exact, "a long, b long").distinct(), "rest")
 
 
 def sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     body = text_of(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInArrow(_sets, f"id {kind}, mark long, n long, node long, signature binary, bands array<long>")
+    return in_arrow(rows, _sets, f"id {kind}, mark long, n long, node long, signature binary, bands array<long>")
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,12 +375,10 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     members = landed(dealt.join(buckets.select("bucket", "size"), "bucket"), "members")
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
     first = verified(forest_pairs(members, signature), nodes, texts)
-    links = first.where("linked")
-    labels = components(links)
-    rest = rest_pairs(members, signature, labels).distinct().join(first, ["a", "b"], "left_anti")
-    second = verified(rest, nodes, texts).where("linked")
+    labels = components(first)
+    second = rest_links(members, signature, labels, nodes, texts)
     if not second.isEmpty():
-        labels = components(links.unionByName(second))
+        labels = components(first.unionByName(second))
     named = nodes.select("node", F.col("best.id").alias("least")).join(labels, "node")
     named = landed(named, "named")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
