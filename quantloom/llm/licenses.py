@@ -192,8 +192,13 @@ def anchor(words: str) -> str:
     return max(re.split(r"\(\?:.*?\)\??|\[[^\]]*\](?:\{\d+\}|\?)?|\.\{[^}]*\}|.\?", words), key=len)
 
 
+def pattern(words: str) -> str:
+    """A signature behind the gap ahead of it. Words may hold U+0085, U+2028 and U+2029, which a dot meets only by (?s)."""
+    return f"(?s)\\G(.*?)((?<= ){words}(?= ))"
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, label, priority, keyword, anchor(words), f"\\G(.*?)((?<= ){words}(?= ))") for k, (label, priority, keyword, words) in enumerate(rules())]
+    rows = [(k, label, priority, keyword, anchor(words), pattern(words)) for k, (label, priority, keyword, words) in enumerate(rules())]
     return spark.createDataFrame(rows, "_l_rule int, label string, priority int, keyword string, anchor string, signature string")
 
 
@@ -244,7 +249,7 @@ def detections(texts: DataFrame, key: str, body: str) -> DataFrame:
 def base_places(texts: DataFrame, key: str, body: str) -> DataFrame:
     """All places of the base phrases: key, label, first."""
     spark = texts.sparkSession
-    phrases = spark.createDataFrame([(p, label, f"\\G(.*?)((?<= ){p}(?= ))") for p, label in BASE.items()], "phrase string, label string, signature string")
+    phrases = spark.createDataFrame([(p, label, pattern(p)) for p, label in BASE.items()], "phrase string, label string, signature string")
     # No phrase has a word that begins it again, so places do not overlap.
     hits = F.filter(F.lit(list(BASE)), lambda p: F.contains(F.col(body), F.concat(F.lit(" "), p, F.lit(" "))))
     some = texts.select(key, body, F.explode(hits).alias("phrase")).join(F.broadcast(phrases), "phrase")

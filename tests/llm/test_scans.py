@@ -122,6 +122,19 @@ def test_base_phrases(docs):
     assert all(0 <= r.score <= 1 for r in got) and licenses.scan_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("line", ["\u0085", "\u2028", "\u2029"])
+def test_line_separators_within_words(spark, line):
+    grant = (f"Neither the name of Foo{line}Bar nor the names of its contributors may be used to endorse{line}or promote products "
+             "without specific prior written permission")
+    texts = [(1, f"foo{line}bar MIT License end"), (2, f"mit license a{line}b mit license {line} Apache License, Version 2.0"),
+             (3, f"mit{line} license mit {line}license mit license{line}"), (4, grant), (5, f"{line} GNU Affero General Public License v3 {line}")]
+    got = {r.doc_id: r for r in licenses.scan_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == base_licenses(text)
+    assert got[1].labels == "mit" and got[2].labels == "apache,apache-2.0,mit" and got[3].labels == ""
+    assert got[4].labels == "bsd-3-clause" and "agpl-3.0" in got[5].labels and (got[2].score, got[4].score) == (1.0, 0.8)
+
+
 def test_contained_detections_are_suppressed(spark):
     texts = spark.createDataFrame([(1, " licensed under the apache license version 2 0 or the mit license ")], "k long, w string")
     found = {(r.label, r.priority) for r in licenses.detections(texts, "k", "w").collect()}
