@@ -8,8 +8,9 @@ weights. Forward-backward gives each token its marginal probability of being tox
 function of the largest marginal and of the expected number of toxic tokens; the offending spans are runs of tokens whose
 marginal is at least a half.
 
-The fit uses a sample of labelled rows that are not held out: whole documents of about SAMPLE_BYTES of text for each of
-the two labels, chosen by a hash of the id. Scores, spans and every text are computed on all documents in full. Ids, language,
+The fit uses a sample of labelled rows that are not held out: whole documents of at most SAMPLE_BYTES of text for each of
+the two labels, in order of a hash of the id. Texts longer than a sixteenth of that come after all others, smallest first, so a few long
+ones do not crowd out the rest. MIN_DOCS documents of each label are read in any case, also beyond SAMPLE_BYTES. Scores, spans and every text are computed on all documents in full. Ids, language,
 source and labels are never inputs of a score.
 
 Defined cases: a null or empty text, and one without words, has no spans and the lowest score; a null id counts as empty text when held-out
@@ -24,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.store import held_out, in_arrow, landed, small, text_of
 from quantloom.llm.text import Chunk, Lookup, chunks, mix
 
-#: Bytes of text that the fit reads, of toxic documents and of others.
+#: Most bytes of text that the fit reads, of toxic documents and of others.
 SAMPLE_BYTES = {1: 3 << 19, 0: 3 << 20}
+#: So many of the longest short texts fit in; a text is long beyond that. Bytes of short texts that are drawn before they are put in order.
+FIT, AHEAD = 16, 4
 #: Byte lengths of word beginnings and ends that are features beside the whole word.
 FRONTS, BACKS = (4, 5, 6), (4,)
 #: Documents that a feature must occur in to have a weight.
@@ -243,13 +246,25 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = SAMPL
     share = sizes.get(1, (0, 0))[1] / total if total else 0.0
     if len(sizes) < 2:
         return [], np.zeros(0, bool), np.zeros(0), share
-    parts = {k: min(1.0, per_label[k] / max(b, 1)) for k, (b, _) in sizes.items()}
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0]) * 1_000_000
-    chosen = landed(known.where(draw).select("doc_id", "toxic").distinct(), "chosen")
+    # Ids by a hash, each with all its rows; short texts before long ones.
+    ids = known.groupBy("doc_id", "toxic").agg(F.sum("bytes").alias("bytes"))
+    ids = ids.withColumn("long", F.col("bytes") > F.when(F.col("toxic") == 1, per_label[1] // FIT).otherwise(per_label[0] // FIT))
+    ids = landed(ids.withColumn("place", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)), "ids")
+    short = {r["toxic"]: r["bytes"] for r in ids.where(~F.col("long")).groupBy("toxic").agg(F.sum("bytes").alias("bytes")).collect()}
+    # No more ids than can matter are put in order: short ones of about AHEAD times the bytes, and the smallest long ones.
+    parts = {k: min(1.0, AHEAD * per_label[k] / max(short.get(k, 0), 1)) for k in (0, 1)}
+    ahead = ids.where(~F.col("long") & (F.col("place") < F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0])))
+    for k in (0, 1):
+        ahead = ahead.unionByName(ids.where(F.col("long") & (F.col("toxic") == k)).orderBy("bytes", "place", "doc_id").limit(FIT))
+    own = Window.partitionBy("toxic").orderBy("long", F.when(F.col("long"), F.col("bytes")), "place", "doc_id")
+    upto = F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = ahead.withColumns({"upto": upto, "at": F.row_number().over(own)})
+    within = F.col("upto") <= F.when(F.col("toxic") == 1, per_label[1]).otherwise(per_label[0])
+    chosen = landed(ahead.where(within | (F.col("at") <= MIN_DOCS)).select("doc_id", "toxic"), "chosen")
     rows = docs.select("doc_id", text_of().alias("text")).join(small(chosen), "doc_id")
     got = rows.orderBy("doc_id", "toxic", "text").select("text", "toxic").collect()
     toxic = np.array([r["toxic"] == 1 for r in got], bool)
-    weight = np.where(toxic, 1 / parts[1], 1 / parts[0]) if len(got) else np.zeros(0)
+    weight = np.where(toxic, sizes[1][1] / max(toxic.sum(), 1), sizes[0][1] / max((~toxic).sum(), 1))
     return [r["text"] for r in got], toxic, weight / max(weight.mean(), 1e-9) if len(got) else weight, share
 
 

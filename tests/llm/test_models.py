@@ -83,6 +83,30 @@ def test_marginals_equal_the_step_by_step_recursion():
             at += n
 
 
+def test_sample_is_bounded_and_long_texts_do_not_crowd_it_out(spark):
+    ids = [i for i in range(400) if not held(i)]
+    bound = {1: 20_000, 0: 40_000}
+
+    def sampled(texts):
+        docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, texts)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, x) for i, (_, x) in zip(ids, texts)], "doc_id long, toxic int")
+        got, toxic, weight, share = toxicity.sample(docs, labels, bound)
+        assert abs(share - np.mean([x for _, x in texts])) < 1e-9
+        return [[len(t) + 1 for t, x in zip(got, toxic) if x == k] for k in (False, True)], dict(zip(toxic.tolist(), weight))
+
+    # Ten short toxic texts and one very long: the short ones are all there.
+    short, long_ = ("bad " * 200, 1), ("bad " * 500_000, 1)
+    (good, bad), weight = sampled([long_, *[short] * 10, *[("fine " * 50, 0)] * 250])
+    assert bad == [801] * 10 and 159 - 1 <= len(good) <= 40_000 // 251
+    assert abs(weight[True] / weight[False] - (11 / 10) / (250 / len(good))) < 1e-9
+    # The bound holds for both labels, also where long ones are many.
+    (good, bad), _ = sampled([*[("bad " * 6_000, 1)] * 30, *[short] * 60, *[("fine " * 50, 0)] * 200])
+    assert bad == [801] * (20_000 // 801) and sum(good) <= 40_000
+    # Only long ones: the least number is there, the smallest.
+    (_, bad), _ = sampled([*[("bad " * (20_000 + k), 1) for k in range(8)], *[("fine " * 50, 0)] * 20])
+    assert sorted(bad) == [4 * (20_000 + k) + 1 for k in range(toxicity.MIN_DOCS)]
+
+
 def test_offending_offsets(spark):
     draw = random.Random(2)
     texts, toxic = [], []
