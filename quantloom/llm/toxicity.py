@@ -4,7 +4,7 @@ Labels are given for documents, so tokens are labelled from them first: a token
 feature (the word, or a beginning or end of it) that occurs in toxic documents too often, and in others too seldom, to be
 chance, allowing for the number of features that are tried. On these labelled tokens a chain with the states other and
 toxic is trained; a state's score is the sum of the weights of the token's features, and neighbours are tied by transition
-weights. Forward-backward gives each token its marginal probability of being toxic. A document's score is a logistic
+weights, which are fitted by the same likelihood. Forward-backward gives each token its marginal probability of being toxic. A document's score is a logistic
 function of the largest marginal and of the expected number of toxic tokens; the offending spans are runs of tokens whose
 marginal is at least a half.
 
@@ -58,8 +58,8 @@ def features(c: Chunk) -> np.ndarray:
     return out
 
 
-def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of state 1 at each position of chains laid end to end.
+def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Probability of state 1 at each position of chains laid end to end; ``pairs`` (2 x 2) gets the expected numbers of steps.
 
     ``odds`` are exp(score of state 1 - score of state 0), ``counts`` the lengths of the chains, ``trans`` the 2 x 2 factors from
     one state to the next; a chain starts from state 0. Chains are cut into blocks whose transfer matrices are multiplied
@@ -103,6 +103,7 @@ def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
         new = np.stack((p[0, b] * a[0, d] + p[1, b] * a[1, d], p[2, b] * a[0, d] + p[3, b] * a[1, d]))
         a[:, d] = new / new.max(0)
     forward = np.empty((BLOCK, e.shape[1]))  # share of state 1
+    come = left[1] / left.sum(0)
     x0, x1 = left
     for t in range(BLOCK):
         y0, y1 = x0 * t00 + x1 * t10, (x0 * t01 + x1 * t11) * e[t]
@@ -114,6 +115,10 @@ def marginals(odds: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
     for t in reversed(range(BLOCK)):
         up, down = forward[t] * x1, (1 - forward[t]) * x0
         out[t] = up / (up + down)
+        if pairs is not None:
+            last = forward[t - 1] if t else come
+            step = np.stack(((1 - last) * t00 * x0, (1 - last) * t01 * e[t] * x1, last * t10 * x0, last * t11 * e[t] * x1))
+            pairs += (step / step.sum(0))[:, real[t]].sum(1).reshape(2, 2)
         y0, y1 = t00 * x0 + t01 * e[t] * x1, t10 * x0 + t11 * e[t] * x1
         total = y0 + y1
         x0, x1 = np.where(real[t], y0 / total, x0), np.where(real[t], y1 / total, x1)
@@ -197,26 +202,27 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model | None
     w = np.zeros(len(keys) + 1)
     bias = np.array([np.log((y.sum() + 1) / (len(y) + 2))])
     follows = np.concatenate(([False], docs[1:] == docs[:-1])) if len(docs) else np.zeros(0, bool)
-    m, v = [np.zeros_like(x) for x in (w, bias)], [np.zeros_like(x) for x in (w, bias)]
     prev = np.concatenate(([0.0], y[:-1])) * follows
     n11, n1 = (y * prev).sum(), prev.sum()
     n01, n0 = (y * (1 - prev)).sum(), (1 - prev).sum()
-    # Transitions from the labelled chains, relative to independence, so that the bias carries how rare the state is.
+    # Transitions begin with counts of the labelled chains, relative to independence, so that the bias carries how rare the state is.
     share = (y.sum() + 1) / (len(y) + 2)
     stay, enter = (n11 + 1) / (n1 + 2), (n01 + 1) / (n0 + 2)
     trans = np.array([[(1 - enter) / (1 - share), enter / share], [(1 - stay) / (1 - share), stay / share]])
+    tie, steps = np.log(trans), np.array([[n0 - n01, n01], [n1 - n11, n11]])
+    m, v = [np.zeros_like(x) for x in (w, bias, tie)], [np.zeros_like(x) for x in (w, bias, tie)]
     scale = 1.0 / max(y.sum(), 1)
     for step in range(1, STEPS + 1):
         score = np.clip(w[found].sum(1) + bias[0], -CLIP, CLIP)
-        p = marginals(np.exp(score), counts, trans)
+        p = marginals(np.exp(score), counts, np.exp(tie), pairs := np.zeros((2, 2)))
         miss = (p - y) * scale
-        grads = [np.bincount(found.ravel(), np.repeat(miss, found.shape[1]), len(w)) + RIDGE * w, np.array([miss.sum()])]
-        for k, (x, g) in enumerate(zip((w, bias), grads)):
+        grads = [np.bincount(found.ravel(), np.repeat(miss, found.shape[1]), len(w)) + RIDGE * w, np.array([miss.sum()]), (pairs - steps) * scale + RIDGE * tie]
+        for k, (x, g) in enumerate(zip((w, bias, tie), grads)):
             m[k] = 0.8 * m[k] + 0.2 * g
             v[k] = 0.95 * v[k] + 0.05 * g * g
             x -= RATE * (m[k] / (1 - 0.8 ** step)) / (np.sqrt(v[k] / (1 - 0.95 ** step)) + 1e-7)
         w[-1] = 0.0
-    model = Model(lookup, w, float(bias[0]), trans, np.zeros(3))
+    model = Model(lookup, w, float(bias[0]), np.exp(tie), np.zeros(3))
     x = np.concatenate([model.summary(c, model.token_probabilities(c)) for _, c, _ in parts])
     model.final = logistic(x, toxic.astype(float), weight)
     return model

@@ -83,6 +83,29 @@ def test_marginals_equal_the_step_by_step_recursion():
             at += n
 
 
+def test_transitions_are_fitted_by_the_likelihood():
+    draw = np.random.default_rng(1)
+    for counts in ([7], [3, 0, 40, 1, 66]):
+        counts, odds, tie = np.array(counts), np.exp(draw.normal(0, 1, sum(counts))), draw.normal(0, 1, (2, 2))
+
+        def total(x):
+            out, at = 0.0, 0
+            for n in counts:
+                a = np.array([1.0, 0.0])
+                for o in odds[at:at + n]:
+                    a = (a @ np.exp(x)) * [1, o]
+                out, at = out + np.log(a.sum()), at + n
+            return out
+
+        # Expected numbers of steps are the slopes of the log of the sum over all paths.
+        toxicity.marginals(odds, counts, np.exp(tie), got := np.zeros((2, 2)))
+        for i, j in np.ndindex(2, 2):
+            d = np.zeros((2, 2))
+            d[i, j] = 1e-5
+            assert abs((total(tie + d) - total(tie - d)) / 2e-5 - got[i, j]) < 1e-5
+        assert abs(got.sum() - counts.sum()) < 1e-9
+
+
 def test_sample_is_bounded_and_long_texts_do_not_crowd_it_out(spark):
     ids = [i for i in range(400) if not held(i)]
     bound = {1: 20_000, 0: 40_000}
