@@ -255,7 +255,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] = SAMPL
     # Ids by a hash, each with all its rows; short texts before long ones.
     ids = known.groupBy("doc_id", "toxic").agg(F.sum("bytes").alias("bytes"))
     ids = ids.withColumn("long", F.col("bytes") > F.when(F.col("toxic") == 1, per_label[1] // FIT).otherwise(per_label[0] // FIT))
-    ids = landed(ids.withColumn("place", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)), "ids")
+    ids = landed(ids.withColumn("place", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000), "ids")
     short = {r["toxic"]: r["bytes"] for r in ids.where(~F.col("long")).groupBy("toxic").agg(F.sum("bytes").alias("bytes")).collect()}
     # No more ids than can matter are put in order: short ones of about AHEAD times the bytes, and the smallest long ones.
     parts = {k: min(1.0, AHEAD * per_label[k] / max(short.get(k, 0), 1)) for k in (0, 1)}
