@@ -149,4 +149,4 @@ def shard_documents(docs: DataFrame, shards: int = 8, keep_text: bool = True) ->
     """
     docs = docs.withColumns({"size": (F.octet_length(text_of()) + 1).cast("long"), "text_crc32": F.crc32(text_of())})
     docs = docs if keep_text else docs.select("doc_id", "lang", "source", "size", "text_crc32")
-    return shard(docs, shards, ["lang", "source"], ["size"], ["doc_id", "text_crc32"])
+    return shard(docs, shards, ["lang", "source"], ["size"], ["text_crc32", "doc_id"])

@@ -90,6 +90,12 @@ def test_shards(spark, n):
     assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 1 for r in got)
 
 
+def test_copies_in_a_cell_are_adjacent(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 10}", "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    rows = sharding.shard_documents(docs, 8).orderBy("shard", "slot").collect()
+    assert sum(a.text != b.text for a, b in zip(rows, rows[1:])) == 9
+
+
 def test_shards_by_bytes(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 90), "en", f"s{i % 7}", i % 90) for i in range(2000)], "doc_id long, text string, lang string, source string, size long")
     got = sharding.shard(docs, 8, ["lang", "source"], ["size"], ["doc_id"], "size").groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
