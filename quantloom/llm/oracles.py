@@ -27,6 +27,44 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
 
+TERMS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+#: 3988292384 is the polynomial of CRC-32.
+RESAMPLING = f"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i::BIGINT AS v, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY byte) AS tab FROM steps WHERE k = 8),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+worded AS (
+  SELECT side, n, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}') AS w FROM texts),
+grams AS (
+  SELECT side, n, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM worded),
+counted AS (SELECT side, n, f, count(*) AS c FROM grams GROUP BY ALL),
+names AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM counted),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i:
+      16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1),
+      lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM names, crc_table),
+spread AS (SELECT side, n, bucket, sum(c) AS c FROM counted JOIN hashed USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, sum(c) FILTER (side = 'd') AS s, sum(c) FILTER (side = 'b') AS t FROM spread GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(sums.t, 0) + 1)::DOUBLE * (total.s + 10000) / ((coalesce(sums.s, 0) + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS g
+  FROM sums, total),
+weighed AS (SELECT n, sum(c * g) AS weight, sum(c) AS n_features FROM spread JOIN gain USING (bucket) WHERE side = 'd' GROUP BY n),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) >= 20 AS enough,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296))))::BIGINT AS score
+  FROM worded LEFT JOIN weighed USING (n) WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (ORDER BY enough DESC, score DESC, doc_id) AS place, count(*) FILTER (enough) OVER () AS many FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * many // 100 THEN place END AS rank FROM placed"""
+
+
 def _fill(name: str, source: str, family: str, order: str) -> str:
     """CTEs that divide ``family_budget`` among the rows of ``source`` (cap, weight): ``name`` adds ``budget``."""
     by = f"PARTITION BY {family} " if family else ""

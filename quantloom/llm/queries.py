@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontamination, exact_dedup, licenses, mixing, near_dedup, pii, quality, secret_scan, sharding, toxicity
-from quantloom.llm.oracles import EXACT_DEDUP, NEAR_DEDUP, mixing_sql
+from quantloom.llm import (
+    decontamination, exact_dedup, licenses, mixing, near_dedup, pii, quality, resampling, secret_scan, sharding, toxicity, url_rules, whitening,
+)
+from quantloom.llm.oracles import EXACT_DEDUP, NEAR_DEDUP, RESAMPLING, mixing_sql
 from quantloom.llm.store import landed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,5 +80,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 # Secret, license and PII scans, sharding (crc32) and the models have no SQL; they are tested against brute force or held-out labels.
-ORACLES |= {"op1_mixing": mixing_sql(*MIXTURE), "op7_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP}
+ORACLES |= {"op1_mixing": mixing_sql(*MIXTURE), "op7_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP, "op13_resampling": RESAMPLING}
