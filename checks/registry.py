@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions import with_place
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,11 +45,5 @@ def days(df: DataFrame, *names: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, shown=lambda x: x) -> DataFrame:
-    """Rows with their ``place`` in the order in which the operator gives them, from 1.
-
-    A sorted table is cut into consecutive partitions, so partition and running number give the order. ``shown`` keeps
-    the column.
-    """
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    rank = Window.orderBy("_at")
-    return shown(placed.withColumn("place", F.row_number().over(rank).cast("bigint")).drop("_at"))
+    """Rows with their ``place`` in the order in which the operator gives them, from 1. ``shown`` keeps the column."""
+    return shown(with_place(df))

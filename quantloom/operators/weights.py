@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: smallest exponent, so power 0 means (almost exactly) equal weights.
 MIN_POWER = 1e-6
-# Parts into which a book is cut to meet the accounts.
-BOOK_PARTS = 16
+# Rows of a book and accounts, respectively, that meet in one task.
+BOOK_BLOCK, ACCOUNT_BLOCK = 2_000, 50_000
 
 
 def raw_weight(rank: Column, count: Column, power: Column) -> Column:
@@ -96,21 +96,32 @@ def weights_from_ranks(selection: DataFrame, predictions: DataFrame, group: list
     )
 
 
-def target_notionals(weights: DataFrame, accounts: DataFrame, leverage: float | None = None, group: list[str] | None = None) -> DataFrame:
+def target_notionals(weights: DataFrame, accounts: DataFrame, leverage: float | None = None, group: list[str] | None = None,
+                     book_block: int = BOOK_BLOCK, account_block: int = ACCOUNT_BLOCK) -> DataFrame:
     """Weights times account value for every ``(account, value)`` that is positive: ``(account, id, target_value)``.
 
     Weights carry the target leverage already. With ``leverage`` given and not positive there are no targets. ``group``
     names columns of both tables, for instance a strategy, by which an account gets its book; they are kept. Every account
-    meets every asset of its book, which is the result. Both sides are joined on the group and a part of the book, so
-    neither has to be held in one place; a small book is broadcast by its size at run time.
+    meets every asset of its book, which is the result, so the two are joined block by block: a group's book and its accounts
+    are counted and cut into as many blocks as their sizes ask for, and a row is repeated for each block of the other
+    side. A book that fits one block is not cut, and its accounts are not repeated.
     """
     group = group or []
     funded = accounts.where((F.col("value") > 0) & ~F.isnan("value"))  # NaN is greater than any number in Spark
     if leverage is not None and leverage <= 0:
         funded = funded.where(F.lit(False))
-    book = weights.select(*group, "id", "weight", F.pmod(F.xxhash64("id"), F.lit(BOOK_PARTS)).cast("int").alias("_part"))
-    parts = funded.select(*group, "account", "value", F.explode(F.sequence(F.lit(0), F.lit(BOOK_PARTS - 1))).alias("_part"))
-    return parts.join(book, [*group, "_part"]).select(*group, "account", "id", (F.col("weight") * F.col("value")).alias("target_value"))
+    one = F.lit(0).alias("_all")  # so that a single book is a group too
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(one, *group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    sizes = blocks(weights, book_block, "_books").join(blocks(funded, account_block, "_parts"), ["_all", *group])
+    book = weights.select(one, *group, "id", "weight").join(sizes, ["_all", *group]).select(
+        *group, "id", "weight", F.pmod(F.xxhash64("id"), "_books").cast("int").alias("_book"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    cut = funded.select(one, *group, "account", "value").join(sizes, ["_all", *group]).select(
+        *group, "account", "value", F.explode(F.sequence(F.lit(0), F.col("_books") - 1)).alias("_book"),
+        F.pmod(F.xxhash64("account"), "_parts").cast("int").alias("_part"))
+    return cut.join(book, [*group, "_book", "_part"]).select(*group, "account", "id", (F.col("weight") * F.col("value")).alias("target_value"))
 
 
 def undersized(targets: DataFrame, min_trade_value: float) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, StrategyParams
-from ..functions import plus_days
+from ..functions import chunk_of, plus_days
 from ..operators.panel import (
-    TradingWindow, price_returns, rebalance_calendar, trading_dates, trading_window, usable, usable_predictions,
+    TradingWindow, kept_steps, price_returns, step_of_date, to_all_tasks, trading_dates, trading_window, usable, usable_predictions,
 )
 from ..operators.signals import eligible_signals, rank_ends, step_signals
 from ..operators.statistics import performance_stats
@@ -33,12 +33,14 @@ MAX_NUMBERS_PER_PLAN = 4_000_000
 
 @dataclass(frozen=True)
 class ScheduledPanel:
-    """Everything the runs share: window, calendar, usable returns, and both ends of each step's ranking."""
+    """Everything the runs share: window, kept steps, calendar, usable returns, and both ends of each step's ranking."""
 
     window: TradingWindow
+    kept: dict[int, list[int]]
     calendar: DataFrame
     returns: DataFrame
     ends: DataFrame
+    most_ends: int
 
 
 def scheduled_panel(prices: DataFrame, predictions: DataFrame, window: TradingWindow, every: list[int], lag_days: int,
@@ -47,12 +49,14 @@ def scheduled_panel(prices: DataFrame, predictions: DataFrame, window: TradingWi
     if returns is None:
         # Returns look back only, so later prices need not be read; the bound is a literal and reaches the scan.
         returns = price_returns(prices.where(F.col("date") <= F.lit(window.last).cast("timestamp_ntz")))
-    calendar = rebalance_calendar(trading_dates(prices, window), window, every)
+    dates = trading_dates(prices, window)
+    kept = kept_steps(prices.select("date"), window, every)
+    calendar = dates.select("date", F.explode(F.array(*[F.lit(n) for n in every])).alias("rebalance_days"))
     signals = step_signals(usable_predictions(predictions, window, lag_days), window, every, lag_days)
     ends = rank_ends(eligible_signals(signals, returns, window, every), ["rebalance_days", "k"], num_top, num_bottom)
     in_window = returns.where(usable() & window.covers(F.col("date")))
-    return ScheduledPanel(window, calendar, in_window, ends.select(
-        "rebalance_days", "k", "date", "id", "rank_top", "rank_bottom", "n_assets"))
+    ends = ends.select("rebalance_days", "k", "date", "id", "rank_top", "rank_bottom", "n_assets")
+    return ScheduledPanel(window, kept, calendar, in_window, ends, sum(map(len, kept.values())) * (num_top + num_bottom))
 
 
 RANKS = ("rank_top", "rank_bottom", "n_assets")
@@ -74,28 +78,24 @@ def runs_of(spark: SparkSession, params: list[tuple[int, StrategyParams]]) -> Ru
     return lambda rows: rows.join(F.broadcast(table) if within else table, "rebalance_days")
 
 
-def _uses_of_step(panel: ScheduledPanel) -> DataFrame:
-    """``(rebalance_days, k, date, lookup_date, use, other_k)``: the dates on which the ranking of step k matters.
+def _uses(panel: ScheduledPanel) -> DataFrame:
+    """Returns with the steps whose ranking matters on their date: ``(rebalance_days, k, date, id, use, other_k, ret)``.
 
-    ``held``: a later date whose return is earned with the weights of k. ``entry``: the step's own date, when weights
-    change from those of the step before (``other_k``). ``exit``: the date of the next kept step (``other_k``), for
-    assets that leave. ``lookup_date`` names a date whose return to look up; where none is needed it is the step's own
-    date, on which every ranked asset has a return by definition, so one inner join serves all three uses.
+    ``held``: the date's return is earned with the weights of k. ``entry``: the step's own date, when weights change from those
+    of the step before (``other_k``). ``exit``: found on the step's own date, dated by the next kept step (``other_k``), for
+    assets that leave. Every ranked asset has a return on the step's own date by definition, so each of its uses is found.
     """
-    own_date = plus_days(panel.window.first, F.col("held_k") * F.col("rebalance_days"))
+    def use(when: Column, name: str, k: str, date: Column, other: Column, ret: Column) -> Column:
+        return F.when(when, F.struct(F.col(f"_s.{k}").alias("k"), date.alias("date"), F.lit(name).alias("use"), other.cast("int").alias("other_k"),
+                                     ret.cast("double").alias("ret")))
 
-    def use(when: Column, name: str, k: str, lookup: Column, other: Column) -> Column:
-        return F.when(when, F.struct(F.col(k).alias("k"), lookup.alias("lookup_date"), F.lit(name).alias("use"),
-                                     other.cast("int").alias("other_k")))
-
-    kept, has_held = F.col("k").isNotNull(), F.col("held_k").isNotNull()
+    none, next_date = F.lit(None), plus_days(panel.window.first, F.col("_s.next_k") * F.col("_s.rebalance_days"))
     uses = F.array_compact(F.array(
-        use(has_held, "held", "held_k", F.col("date"), F.lit(None)),
-        use(kept, "entry", "k", F.col("date"), F.coalesce(F.col("held_k"), F.lit(-1))),
-        use(kept & has_held, "exit", "held_k", own_date, F.col("k")),
-    ))
-    return panel.calendar.select("rebalance_days", "date", F.explode(uses).alias("_u")).select(
-        "rebalance_days", "date", "_u.*")
+        use(F.col("_s.held_k").isNotNull(), "held", "held_k", F.col("date"), none, F.col("ret")),
+        use(F.col("_s.k").isNotNull(), "entry", "k", F.col("date"), F.coalesce("_s.held_k", F.lit(-1)), none),
+        use(F.col("_s.next_k").isNotNull(), "exit", "k", next_date, F.col("_s.next_k"), none)))
+    rows = panel.returns.select("date", "id", "ret", F.explode(step_of_date(F.col("date"), panel.window, panel.kept)).alias("_s"))
+    return rows.select("id", "_s.rebalance_days", F.explode(uses).alias("_u")).select("id", "rebalance_days", "_u.*")
 
 
 def _contributions(panel: ScheduledPanel) -> DataFrame:
@@ -103,21 +103,23 @@ def _contributions(panel: ScheduledPanel) -> DataFrame:
 
     Each carries an asset's ranks before (``old``) and after (``new``) the date's rebalance and, for a held asset, its
     return. A row for every calendar date is added, so that idle days appear too.
+
+    Returns stay where their window left them: the steps that matter on a date are arithmetic, and the ends, of which there
+    are at most as many as steps and positions allow, are looked up by step and asset. Ends beyond the bound of a
+    broadcast are joined by a shuffle on both, which then moves the panel once.
     """
     ranks = F.struct(*[F.col(c).cast("double").alias(c) for c in RANKS])
     # At most one row for each step and asset, in the order of steps.
-    steps = Window.partitionBy("rebalance_days", "id").orderBy("k")
+    by_step = Window.partitionBy("rebalance_days", "id").orderBy("k")
     ends = panel.ends.select(
         "rebalance_days", "k", "id", ranks.alias("ranks"),
-        F.lag(F.struct("k", ranks.alias("ranks"))).over(steps).alias("before"),
-        F.lead("k").over(steps).alias("next_k"))
-    rows = ends.join(_uses_of_step(panel), ["rebalance_days", "k"]).where(
-        (F.col("use") != "exit") | F.col("next_k").isNull() | (F.col("next_k") != F.col("other_k")))
-    held, entry = F.col("use") == "held", F.col("use") == "entry"
-    was_held = F.col("before.k") == F.col("other_k")
-    joined = rows.join(panel.returns.withColumnRenamed("date", "lookup_date"), ["lookup_date", "id"]).select(
-        "rebalance_days", "date",
-        F.when(held, F.col("ret")).alias("ret"),
+        F.lag(F.struct("k", ranks.alias("ranks"))).over(by_step).alias("before"),
+        F.lead("k").over(by_step).alias("ranked_k"))
+    rows = _uses(panel).join(to_all_tasks(ends, panel.most_ends), ["rebalance_days", "k", "id"]).where(
+        (F.col("use") != "exit") | F.col("ranked_k").isNull() | (F.col("ranked_k") != F.col("other_k")))
+    entry, was_held = F.col("use") == "entry", F.col("before.k") == F.col("other_k")
+    joined = rows.select(
+        "rebalance_days", "date", "ret",
         F.when(entry, F.when(was_held, F.col("before.ranks"))).otherwise(F.col("ranks")).alias("old"),
         F.when(entry, F.col("ranks")).alias("new"))
     every_day = panel.calendar.select("rebalance_days", "date")
@@ -141,26 +143,55 @@ def run_flows(panel: ScheduledPanel, runs: Runs) -> DataFrame:
     )
 
 
-def equity_curve(flows: DataFrame, group: list[str], start_capital: float, cost_rate: float) -> DataFrame:
+# Longest series, in dates, whose curve is one task's window; a longer one is cut into calendar chunks of about half of that.
+SERIES_IN_TASK = 1 << 17
+
+
+def series_chunk(window: TradingWindow) -> int | None:
+    """Days in a chunk of a run's series, or None where the series is short enough to be left whole."""
+    if not window.stamps or window.stamps <= SERIES_IN_TASK:
+        return None
+    return max(1, (window.days + 1) * SERIES_IN_TASK // (2 * window.stamps))
+
+
+def equity_curve(flows: DataFrame, group: list[str], start_capital: float, cost_rate: float, chunk_days: int | None = None) -> DataFrame:
     """Daily rows ``(*group, date, returns, equity, drawdown, turnover)`` from returns and turnover.
 
     Equity is after the day's trading cost; peak and drawdown look at the equity just before it. One row for each
-    run and date reaches these windows.
+    run and date reaches these windows, whose key is the run. With ``chunk_days`` a run is cut into calendar chunks first, so
+    that a series of many dates is not one task: growth, highest and lowest value are found within each chunk, as multiples
+    of its beginning; a window over the chunks' ends carries growth and peak from chunk to chunk.
     """
-    by_date = Window.partitionBy(*group).orderBy("date")
+    cap, key = F.lit(float(start_capital)), [*group, "_chunk"]
+    chunk = F.lit(0) if chunk_days is None else chunk_of(F.col("date"), chunk_days)
+    by_date = Window.partitionBy(*(group if chunk_days is None else key)).orderBy("date")
     so_far = by_date.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cap = F.lit(float(start_capital))
     step = (1 + F.col("returns")) * (1 - F.col("turnover") * cost_rate)
+    rows = (
+        flows.select(*group, "date", "returns", "turnover", chunk.alias("_chunk"))
+        .withColumn("_grown", F.product(step).over(so_far))
+        .withColumn("_pre", F.lag("_grown", 1, 1.0).over(by_date) * (1 + F.col("returns")))
+        .withColumns({"_high": F.max("_pre").over(so_far), "_low": F.min("_pre").over(so_far)})
+    )
+    if chunk_days is None:
+        rows = rows.withColumns({"_from": F.lit(1.0), "_peak": F.lit(1.0)})
+    else:
+        ends = rows.groupBy(*key).agg(F.max_by("_grown", "date").alias("_end"), F.max("_high").alias("_top"), F.min("_low").alias("_bottom"))
+        earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_from", F.coalesce(F.product("_end").over(earlier), F.lit(1.0)))
+        highest = F.col("_from") * F.when(F.col("_from") >= 0, F.col("_top")).otherwise(F.col("_bottom"))
+        ends = ends.withColumn("_peak", F.greatest(F.lit(1.0), F.max(highest).over(earlier)))
+        rows = rows.join(ends.select(*key, "_from", "_peak"), key)
+    here = F.col("_from") * F.when(F.col("_from") >= 0, F.col("_high")).otherwise(F.col("_low"))
     return (
-        flows.withColumn("equity", cap * F.product(step).over(so_far))
-        .withColumn("_pre", F.lag("equity", 1, float(start_capital)).over(by_date) * (1 + F.col("returns")))
-        .withColumn("_peak", F.greatest(cap, F.max("_pre").over(so_far)))
+        rows.withColumns({"equity": cap * F.col("_from") * F.col("_grown"), "_pre": cap * F.col("_from") * F.col("_pre"),
+                          "_peak": cap * F.greatest("_peak", here)})
         .withColumn("drawdown", F.when(F.col("_peak") > 0, (F.col("_pre") - F.col("_peak")) / F.col("_peak")).otherwise(0.0))
         .select(*group, "date", "returns", "equity", "drawdown", "turnover")
     )
 
 
-def leveraged_daily(flows: DataFrame, variants: DataFrame, config: BacktestConfig) -> DataFrame:
+def leveraged_daily(flows: DataFrame, variants: DataFrame, config: BacktestConfig, chunk_days: int | None = None) -> DataFrame:
     """Daily rows of every ``run_id`` from the flows of its base run.
 
     ``variants``: ``(run, variants array<struct<run_id, leverage>>)`` of checked size. Flows are placed by base run
@@ -173,7 +204,7 @@ def leveraged_daily(flows: DataFrame, variants: DataFrame, config: BacktestConfi
         .select("run", "_v.run_id", "date", (F.col("returns") * F.col("_v.leverage")).alias("returns"),
                 (F.col("turnover") * F.col("_v.leverage")).alias("turnover"))
     )
-    return equity_curve(spread, ["run", "run_id"], config.start_capital, config.cost_rate)
+    return equity_curve(spread, ["run", "run_id"], config.start_capital, config.cost_rate, chunk_days)
 
 
 def run_positions(panel: ScheduledPanel, runs: Runs) -> DataFrame:
@@ -194,8 +225,8 @@ class BacktestResult:
     @cached_property
     def daily(self) -> DataFrame:
         flows = run_flows(self.panel, self._run).select(
-            "date", (F.col("returns") * self._leverage).alias("returns"), (F.col("turnover") * self._leverage).alias("turnover"))
-        return equity_curve(flows, [], self.config.start_capital, self.config.cost_rate)
+            "run", "date", (F.col("returns") * self._leverage).alias("returns"), (F.col("turnover") * self._leverage).alias("turnover"))
+        return equity_curve(flows, ["run"], self.config.start_capital, self.config.cost_rate, series_chunk(self.window)).drop("run")
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -215,7 +246,8 @@ def run_backtest(prices: DataFrame, predictions: DataFrame, config: BacktestConf
                  returns: DataFrame | None = None) -> BacktestResult:
     """One configuration: lazy daily series, positions and statistics.
 
-    Raises :class:`NoTradingDates` when the panels do not overlap; finding that out is the only job started here.
+    Raises :class:`NoTradingDates` when the panels do not overlap; finding that out, and which steps have prices, are the
+    only jobs started here.
     ``returns`` takes a stored result of ``price_returns``.
     """
     config = config or BacktestConfig()

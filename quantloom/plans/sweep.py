@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from ..config import BacktestConfig, StrategyParams
 from ..operators.panel import trading_window
 from ..operators.statistics import histograms, performance_stats
+from ..session import child_names, make_marker, remove_path
 from .backtest import (
     MAX_NUMBERS_PER_PLAN, MAX_RUNS_PER_PLAN, BacktestResult, leveraged_daily, run_backtest, run_flows, runs_of, scheduled_panel,
+    series_chunk,
 )
 
 # The columns of a sweep's result.
@@ -86,7 +89,7 @@ def _slice_daily(spark: SparkSession, panel, grid: Sequence[StrategyParams], con
         [(run_of[base_of[p]], i, max(p.leverage, 0.0)) for i, p in enumerate(grid)],
         "run bigint, run_id bigint, leverage double",
     ).groupBy("run").agg(F.collect_list(F.struct("run_id", "leverage")).alias("variants"))
-    daily = leveraged_daily(run_flows(panel, runs_of(spark, [(i, b) for b, i in run_of.items()])), variants, config)
+    daily = leveraged_daily(run_flows(panel, runs_of(spark, [(i, b) for b, i in run_of.items()])), variants, config, series_chunk(panel.window))
     return daily.join(F.broadcast(grid_table(spark, grid)), "run_id").select(
         "run", *PARAM_COLUMNS, "date", "returns", "equity", "drawdown", "turnover")
 
@@ -128,18 +131,31 @@ def with_run_key(params: DataFrame, source: SweepSource, config: BacktestConfig)
 
 
 class SweepStore:
-    """Results of earlier sweeps in a Parquet table; a sweep computes only what the table does not hold."""
+    """Results of earlier sweeps in a folder of Parquet tables; a sweep computes only what is not there yet.
+
+    Each sweep writes a table of its own below ``runs`` and commits it by a marker below ``done``. Only committed tables are
+    read, so a writer that died leaves nothing visible, and of runs that sweeps at the same time both computed one row is
+    read, from the table whose name comes first. Which parameters are missing is a matter of the moment: overlapping sweeps may
+    do the same work, but never spoil the result.
+    """
 
     def __init__(self, spark: SparkSession, path: str, source: SweepSource, config: BacktestConfig):
-        self.spark, self.path, self.source, self.config = spark, path, source, config
+        self.spark, self.path, self.source, self.config = spark, path.rstrip("/"), source, config
+
+    def committed(self) -> list[str]:
+        """Names of the tables that count."""
+        return sorted(child_names(self.spark, f"{self.path}/done"))
 
     def stored(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RESULT_SCHEMA).parquet(self.path)
-        except Exception as error:  # the table does not exist before the first sweep
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        """One row for each run that some committed sweep has computed."""
+        names = self.committed()
+        if not names:
             return self.spark.createDataFrame([], RESULT_SCHEMA)
+        rows = self.spark.read.schema(f"{RESULT_SCHEMA}, sweep string").option("basePath", f"{self.path}/runs").parquet(
+            *[f"{self.path}/runs/sweep={name}" for name in names])
+        columns = [c for c in rows.columns if c not in ("sweep", "run_key")]
+        first = F.min_by(F.struct(*columns), "sweep").alias("_first")
+        return rows.groupBy("run_key").agg(first).select("run_key", "_first.*")
 
     def keyed(self, grid: Sequence[StrategyParams]) -> DataFrame:
         return with_run_key(grid_table(self.spark, grid), self.source, self.config)
@@ -149,18 +165,27 @@ class SweepStore:
         todo = self.keyed(grid).join(self.stored().select("run_key"), "run_key", "left_anti")
         return [grid[r["run_id"]] for r in todo.select("run_id").orderBy("run_id").collect()]
 
-    def run(self, prices: DataFrame, predictions: DataFrame, grid: Sequence[StrategyParams]) -> DataFrame:
-        """Results of the whole grid; new ones are appended to the table first."""
+    def write(self, results: DataFrame) -> str:
+        """Write a sweep's results, not yet visible, and return the name by which :meth:`commit` makes them so."""
+        name = uuid.uuid4().hex
+        keyed = with_run_key(results, self.source, self.config).select(*[c.split()[0] for c in RESULT_SCHEMA.split(", ")])
+        keyed.write.parquet(f"{self.path}/runs/sweep={name}")
+        return name
+
+    def commit(self, name: str) -> None:
+        make_marker(self.spark, f"{self.path}/done/{name}")
+
+    def run(self, prices: DataFrame, predictions: DataFrame, grid: Sequence[StrategyParams], returns: DataFrame | None = None) -> DataFrame:
+        """Results of the whole grid; new ones are stored first. ``returns`` takes a stored result of ``price_returns``."""
         todo = self.missing(grid)
         if todo:
-            fresh = run_sweep(prices, predictions, todo, self.config)
-            with_run_key(fresh, self.source, self.config).select(
-                *[c.split()[0] for c in RESULT_SCHEMA.split(", ")]).write.mode("append").parquet(self.path)
+            self.commit(self.write(run_sweep(prices, predictions, todo, self.config, returns=returns)))
         return self.stored().join(self.keyed(grid).select("run_key"), "run_key", "left_semi").drop("run_key")
 
     def clear(self) -> None:
-        """Empty the table."""
-        self.spark.createDataFrame([], RESULT_SCHEMA).write.mode("overwrite").parquet(self.path)
+        """Forget all results. Markers go first, so nothing half removed is ever read."""
+        for part in ("done", "runs"):
+            remove_path(self.spark, f"{self.path}/{part}", self.path)
 
 
 def within_drawdown(results: DataFrame, limit: float | None) -> DataFrame:

@@ -63,6 +63,12 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
 
 
+def make_marker(spark: SparkSession, path: str) -> None:
+    """Create an empty file; it is there or not, so it can commit what was written before."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False).close()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partition count for explicit repartitioning ahead of a fan-out, which AQE would otherwise size by input bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,15 +1,19 @@
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from model import START, expected_daily, random_panel
 from quantloom.config import BacktestConfig, StrategyParams
+from quantloom.operators import panel as panel_operators
 from quantloom.operators.panel import (
     TradingWindow, duplicate_keys, price_returns, rebalance_calendar, returns_wide, trading_dates, trading_window,
 )
+from quantloom.plans import backtest
+from quantloom.plans.backtest import equity_curve
 from quantloom.plans import NoTradingDates, parameter_grid, run_backtest, run_sweep
 from quantloom.plans.sweep import PARAM_COLUMNS, SweepSource, SweepStore, apply_best, best_params, sweep_daily, with_run_key, grid_table
 from quantloom.sources import prediction_panel, price_panel
@@ -118,6 +122,68 @@ def test_sweep_store(spark, tmp_path):
     assert store.missing(grid) == grid
 
 
+def test_overlapping_and_dead_writers(spark, tmp_path):
+    """Two sweeps that began with the same empty store give each run once; one that dies before its commit leaves nothing."""
+    panel = two_assets(spark)
+    store = SweepStore(spark, str(tmp_path / "shared"), SweepSource("p", "q"), SMALL)
+    grid = parameter_grid(SMALL.params, leverages=[1.0, 2.0])
+    first, second = (store.write(run_sweep(*panel, store.missing(grid), SMALL)) for _ in range(2))
+    store.write(run_sweep(*panel, parameter_grid(SMALL.params, leverages=[9.0]), SMALL))  # never committed
+    assert store.stored().count() == 0
+    store.commit(first)
+    store.commit(second)
+    assert sorted(r["leverage"] for r in store.stored().collect()) == [1.0, 2.0]
+    assert store.run(*panel, grid, returns=price_returns(panel[0])).count() == 2 and len(store.committed()) == 2
+    with pytest.raises(Exception, match="exist"):
+        store.commit(first)
+    store.clear()
+    assert store.stored().count() == 0 and store.committed() == []
+
+
+def test_long_series_in_chunks(spark):
+    """A million stamps of one run, in chunks, against a running product; growth below zero turns signs."""
+    n = 1_000_000
+    rng = np.random.default_rng(4)
+    returns, turnover = rng.normal(0, 0.002, n), np.where(rng.random(n) < 0.01, 0.3, 0.0)
+    returns[600_000] = -2.0
+    stamps = np.datetime64("2020-01-01") + np.arange(n) * np.timedelta64(1, "m")
+    table = {"run": np.full(n, 7), "date": stamps.astype("datetime64[us]"), "returns": returns, "turnover": turnover}
+    flows = spark.createDataFrame(pa.table(table))
+    got = equity_curve(flows, ["run"], 100.0, 0.001, chunk_days=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan  # every window has a key
+    got = got.orderBy("date").toArrow()
+    equity = 100.0 * np.cumprod((1 + returns) * (1 - turnover * 0.001))
+    before = np.concatenate(([100.0], equity[:-1])) * (1 + returns)
+    peak = np.maximum(100.0, np.maximum.accumulate(before))
+    assert len(got) == n and np.allclose(got["equity"], equity, rtol=1e-9) and np.allclose(got["drawdown"], (before - peak) / peak, atol=1e-9)
+
+
+def test_backtest_in_chunks(spark, monkeypatch):
+    prices, scores = random_panel(11)
+    panel = frames(spark, prices, scores)
+    config = BacktestConfig(StrategyParams(3, 2, 1.5, 4, 1.0))
+    whole = run_backtest(*panel, config).daily.orderBy("date").collect()
+    monkeypatch.setattr(backtest, "SERIES_IN_TASK", 10)
+    result = run_backtest(*panel, config)
+    assert backtest.series_chunk(result.window) < result.window.days / 4
+    cut = result.daily.orderBy("date").collect()
+    assert [r["date"] for r in cut] == [r["date"] for r in whole]
+    assert all(tuple(a)[1:] == pytest.approx(tuple(b)[1:], rel=1e-12, abs=1e-12) for a, b in zip(whole, cut))
+    swept = run_sweep(*panel, parameter_grid(config.params, leverages=[1.0, 1.5]), config).where("leverage = 1.5").first()
+    assert swept["final_equity"] == pytest.approx(whole[-1]["equity"], rel=1e-9)
+    assert swept["max_dd"] == pytest.approx(min(r["drawdown"] for r in whole), rel=1e-9)
+
+
+def test_ends_beyond_the_broadcast_bound(spark, monkeypatch):
+    prices, scores = random_panel(12)
+    panel = frames(spark, prices, scores)
+    config = BacktestConfig(StrategyParams(3, 2, 1.5, 4, 1.0))
+    small = run_backtest(*panel, config).stats.first()
+    monkeypatch.setattr(panel_operators, "ROWS_TO_ALL_TASKS", 0)
+    assert tuple(run_backtest(*panel, config).stats.first()) == pytest.approx(tuple(small), rel=1e-12)
+
+
 def test_run_key_depends_on_everything(spark):
     table = grid_table(spark, [SMALL.params])
     configs = [SMALL, replace(SMALL, fee_bps=1.0), replace(SMALL, end_date=None)]
@@ -150,6 +216,23 @@ def test_zero_close_and_duplicates(spark):
     assert wide.columns == ["date", "A", "B"]
 
 
+def test_calendar_of_minutes(spark):
+    """Several dates a day: a step is the first day's time of day, and holds from the next minute on."""
+    start = datetime(2023, 1, 2, 9, 30)
+    minutes = [start + timedelta(days=d, minutes=m) for d in range(12) if d != 4 for m in range(-30, 31, 15) if d or m >= 0]
+    dates = spark.createDataFrame([(m,) for m in minutes], "date timestamp_ntz")
+    window = TradingWindow(minutes[0], minutes[-1])
+    got = {(r["rebalance_days"], r["date"]): (r["k"], r["held_k"]) for r in rebalance_calendar(dates, window, [2, 3]).collect()}
+    for n in (2, 3):
+        held = None
+        for m in sorted(minutes):
+            days, rest = divmod(m - start, timedelta(days=n))
+            k = days if not rest else None
+            assert got[n, m] == (k, held)
+            held = held if k is None else k
+    assert len(got) == 2 * len(minutes)
+
+
 def test_missed_step_is_skipped(spark):
     dates = spark.createDataFrame([(datetime(2023, 1, n),) for n in (1, 2, 4, 6, 7)], "date timestamp_ntz")
     window = TradingWindow(START, datetime(2023, 1, 7))

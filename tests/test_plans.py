@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from quantloom.config import BacktestConfig, StrategyParams
+from quantloom.functions import with_place
 from quantloom.operators.panel import price_returns
 from quantloom.plans import parameter_grid, run_backtest, run_sweep
 from checks import tables as T
@@ -45,3 +48,26 @@ def test_sweep_sums_runs_before_the_shuffle(spark):
     above = plan[:plan.index("Union")]
     shuffles = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\), REPARTITION", above)]
     assert shuffles == ["run", "rebalance_days, date"]
+
+
+def test_panel_moves_once(spark):
+    """Exchanges of one backtest as it is run: three for the returns, and none of the panel after those."""
+    result = run_backtest(T.prices(spark, SF), T.predictions(spark, SF), BacktestConfig(StrategyParams(3, 3, 1.0, 10, 1.0)))
+    stats = result.stats
+    stats.collect()
+    final = plan_of(stats).split("== Initial Plan")[0]
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", final)]
+    assert len(keys) < 13 and "lookup_date, id" not in keys
+    assert keys.count("id, _chunk") == 3 and final.count("ReusedExchange") == 1  # the returns' last one is read twice
+    assert "SinglePartition" not in plan_of(result.daily)  # every window has a key
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    rows = spark.range(10_000).selectExpr("id", "pmod(xxhash64(id), 1000) AS x")
+    placed = with_place(rows, [F.col("x").desc(), F.col("id")], parts=7)
+    assert "Window" not in plan_of(placed)
+    want = sorted(((r["x"], r["id"]) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    assert [(r["x"], r["id"]) for r in placed.orderBy("place").collect()] == want
+    assert [r["place"] for r in placed.orderBy("place").collect()] == list(range(1, 10_001))
+    assert [r["id"] for r in with_place(rows.orderBy("id")).orderBy("place").collect()] == list(range(10_000))
+    assert with_place(rows.where("id < 0"), [F.col("id")]).collect() == []
