@@ -22,7 +22,9 @@ and pairs are never written out in full.
 Defined cases: a null or empty text, and one without words, has an empty set and is linked with nothing; a text of fewer than
 five words is one shingle; a null id is never the name of a group unless all its rows lack one; rows that repeat are
 linked like any equal texts; an empty table gives no rows. Extra columns are not read. Sets are compared by 64-bit hashes of their
-shingles, nodes are named by a 64-bit hash of their set.
+shingles, built on word hashes modulo two primes. A node is named by a 64-bit hash of its set and has a second, independent one
+and the set's size besides; documents that agree in the name but not in those are told apart, so unlike sets are one node
+only if 128 bits agree by chance.
 """
 
 from __future__ import annotations
@@ -114,14 +116,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, c in chunks(batch.column("text")):
             hashes, docs, sizes = distinct(*c.shingles(WIDTH), end - at)
             signature = signatures(hashes, docs, end - at)
-            node = np.zeros(end - at, U64)
+            node, proof = np.zeros(end - at, U64), np.zeros(end - at, U64)
             np.add.at(node, docs, mix(hashes))
+            np.add.at(proof, docs, mix(hashes ^ U64(GOLDEN)))
             short = mix(signature + U64(1)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id")[at:end], batch.column("mark")[at:end], pa.array(sizes), _long(mix(node)),
+                [batch.column("id")[at:end], batch.column("mark")[at:end], pa.array(sizes), _long(mix(node)), _long(mix(proof)),
                  pa.array([row.tobytes() for row in short], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * BANDS), _long(bands(signature).ravel()))],
-                names=["id", "mark", "n", "node", "signature", "bands"])
+                names=["id", "mark", "n", "node", "proof", "signature", "bands"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
@@ -359,12 +362,23 @@ def sets_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     body = text_of(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return in_arrow(rows, _sets, f"id {kind}, mark long, n long, node long, signature binary, bands array<long>")
+    return in_arrow(rows, _sets, f"id {kind}, mark long, n long, node long, proof long, signature binary, bands array<long>")
+
+
+def told_apart(sets: DataFrame) -> DataFrame:
+    """The same rows; where sets of one name differ in their second hash or size, each kind gets a name of its own."""
+    both = F.struct("n", "proof")
+    doubtful = landed(sets.where("n > 0").groupBy("node").agg(F.min(both).alias("low"), F.max(both).alias("high"))
+                      .where("low <> high").select("node", F.lit(True).alias("doubt")), "doubtful")
+    if doubtful.isEmpty():
+        return sets
+    named = sets.join(small(doubtful), "node", "left")
+    return named.withColumn("node", F.when(F.col("doubt"), F.xxhash64("node", "proof", "n")).otherwise(F.col("node"))).drop("doubt")
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, mark (hash of the text), n, and component (least id of the group) of each document."""
-    sets = landed(sets_of(docs, id_column, text), "sets")
+    sets = told_apart(landed(sets_of(docs, id_column, text), "sets"))
     some = sets.where("n > 0")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "signature", "bands")).alias("best")
     nodes = landed(some.groupBy("node").agg(best), "nodes")
@@ -396,15 +410,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group."""
+    """The documents, one of each group, with all their columns; names that begin with ``_d_`` are reserved."""
     found = landed(groups(docs), "groups")
     rows = docs.withColumn("_d_mark", F.xxhash64(text_of()))
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", F.col("mark").alias("_d_other")).distinct()
+    drop = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_d_id"), F.col("mark").alias("_d_other")).distinct()
     drop = landed(drop, "dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_d_mark") == F.col("_d_other"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d_id")) & (F.col("_d_mark") == F.col("_d_other"))
     kept = rows.join(small(drop), same, "left_anti")
     # Rows that are there several times are told apart only if there are any.
     if not found.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_d_mark"])
     return kept.select(*docs.columns)
-

@@ -10,23 +10,49 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
-#: Odd base of the polynomial word hash, and what combines words to shingles (both arbitrary odd numbers).
-BASE = 0x9E3779B97F4A7C15
+#: Primes below 2 ** 31 of the polynomial word hash and a base for each, and what combines words to shingles (an arbitrary odd
+#: number). Modulo a power of two such hashes are equal for some unlike texts whatever the base; modulo primes they aren't.
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = (1_238_904_571, 1_872_340_913)
 COMBINE = 0xD6E8FEB86659FD93
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(str(base))
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo prime, kept for the next call."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
-        have = np.full(max(n, STEP_BYTES + 1), base, U64)
-        have[0] = 1
-        _powers[str(base)] = have = np.multiply.accumulate(have)
+        size = max(n, STEP_BYTES + 1)
+        have, done = np.ones(size, U64), 1
+        while done < size:
+            more = min(done, size - done)
+            have[done:done + more] = have[:more] * U64(pow(base, done, prime)) % U64(prime)
+            done += more
+        _powers[base, prime] = have
     return have[:n]
 
 
+def running_sums(data: np.ndarray) -> list[np.ndarray]:
+    """For each prime the running sum of all bytes (plus one) times the powers of its base."""
+    out = []
+    for base, prime in zip(BASES, PRIMES):
+        terms = (data.astype(U64) + U64(1)) * powers(base, prime, len(data))
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(terms if len(data) < 1 << 24 else terms % U64(prime), out=sums[1:])  # stays below 2 ** 64
+        out.append(sums)
+    return out
+
+
+def hashes_of_ranges(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, read off running sums; 62 bits tell texts apart."""
+    out = np.zeros(len(starts), U64)
+    for total, base, prime in zip(sums, BASES, PRIMES):
+        back = powers(pow(base, -1, prime), prime, len(total))
+        out = (out << U64(31)) ^ ((total[ends] - total[starts]) % U64(prime) * back[starts] % U64(prime))
+    return mix(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every input bit over the whole output."""
     x = x ^ (x >> U64(30))
@@ -59,7 +85,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "space", lower: bool = True):
         self.data = lowering()[data] if lower else data
         self.offsets = offsets
-        self._sums = self._back = None
+        self._sums = None
         self.n_docs = len(offsets) - 1
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
@@ -73,14 +99,19 @@ class Chunk:
         self.docs = np.repeat(np.arange(self.n_docs), self.counts)
 
     def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges, all read off one running sum."""
-        if self._sums is None:
-            n = len(self.data)
-            power = _power(BASE, n + 1)[:n]
-            self._sums = np.zeros(n + 1, U64)
-            np.cumsum(self.data.astype(U64) * power + power, out=self._sums[1:])
-            self._back = _power(pow(BASE, -1, 1 << 64), n + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
+        """Hashes of byte ranges in order of their starts. A long text is gone through in steps, each with sums of its own."""
+        if len(self.data) <= 2 * STEP_BYTES:
+            if self._sums is None:
+                self._sums = running_sums(self.data)
+            return hashes_of_ranges(self._sums, starts, ends)
+        out, at = np.zeros(len(starts), U64), 0
+        while at < len(starts):
+            low = int(starts[at])
+            stop = max(at + 1, int(np.searchsorted(starts, low + STEP_BYTES)))
+            sums = running_sums(self.data[low:int(ends[at:stop].max())])
+            out[at:stop] = hashes_of_ranges(sums, starts[at:stop] - low, ends[at:stop] - low)
+            at = stop
+        return out
 
     def word_hashes(self) -> np.ndarray:
         return self.range_hashes(self.starts, self.ends)
