@@ -3,7 +3,7 @@
 Texts are equal if they are identical after white space is deleted. A normalised text is cut into chunks. Each chunk has a
 polynomial hash modulo two primes; a text's fingerprint is the sum of its chunk hashes, each multiplied by the base to the
 power of the number of bytes that follow the chunk, so chunks are hashed in parallel, in any order, and added up by a plain
-sum. Texts of equal fingerprint, length and number of chunks are then compared chunk by chunk: over a group, the smallest
+sum; the chunks of a long text go to many tasks. Texts of equal fingerprint, length and number of chunks are then compared chunk by chunk: over a group, the smallest
 and the largest content of each chunk place must be the same. That is a fold, so it meets no pairs, needs no text of a group in one
 place, and a group of any size shrinks before it is shuffled. A group that fails (a collision of fingerprints) is grouped
 anew by its texts themselves.
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.store import in_arrow, landed, small, text_of
 from quantloom.llm.text import text_bytes
+from quantloom.session import shuffle_width
 
 #: Two primes below 2 ** 31, so products fit 64 bits, and a base for each. Fixed values.
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_003)
 #: Code points in a chunk.
 CHUNK = 1 << 15
+#: A text of more chunks than this (by its bytes) is hashed by several tasks.
+DEALT = 8
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -76,19 +79,24 @@ def normalised(text: Column) -> Column:
 
 
 def chunk_rows(df: DataFrame, keys: list[str], text: str, chunk: int = CHUNK) -> DataFrame:
-    """Chunks of a normalised text: keys, place, chunk, and the bytes of text that follow it."""
-    n = F.greatest(F.ceil(F.length(text) / chunk), F.lit(1)).cast("int")
-    rows = df.select(*keys, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("place"))
-    part = F.substring(F.col(text), F.col("place") * chunk + 1, F.lit(chunk))
-    rest = F.substring(F.col(text), (F.col("place") + 1) * chunk + 1, F.length(text))
-    return rows.select(*keys, "place", part.alias("chunk"), F.when(n == 1, F.lit(0)).otherwise(F.octet_length(rest)).cast("long").alias("after"))
+    """Chunks of a normalised text, cut in one pass: keys, place, chunk, and the bytes of text that follow it."""
+    parts = F.when(F.length(text) <= chunk, F.array(F.col(text))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    rows = df.select(*keys, F.octet_length(text).cast("long").alias("_bytes"), parts.alias("chunk"))
+    upto = F.aggregate("chunk", F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + F.octet_length(x))))
+    rows = rows.withColumn("upto", F.slice(upto, 2, F.greatest(F.size("chunk"), F.lit(1))))
+    rows = rows.select(*keys, "_bytes", F.posexplode(F.arrays_zip("chunk", "upto")).alias("place", "_p"))
+    return rows.select(*keys, "place", F.col("_p.chunk").alias("chunk"), (F.col("_bytes") - F.col("_p.upto")).alias("after"))
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str, chunk: int = CHUNK) -> DataFrame:
     """Rows by their keys, with ``times`` (rows of these keys, all of the same text), ``f0`` and ``f1``."""
-    rows = chunk_rows(df, keys, text, chunk)
+    short = F.octet_length(text) <= DEALT * chunk
+    # The chunks of a long text are dealt to all tasks; short texts are hashed where they are read.
+    dealt = chunk_rows(df.where(~short), keys, text, chunk).repartition(shuffle_width(df.sparkSession), *keys, "place")
+    rows = chunk_rows(df.where(short), keys, text, chunk)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "place").schema)
-    parts = in_arrow(rows, _fingerprints, f"{fields}, part0 long, part1 long")
+    schema = f"{fields}, part0 long, part1 long"
+    parts = in_arrow(rows, _fingerprints, schema).unionByName(in_arrow(dealt, _fingerprints, schema))
     sums = parts.groupBy(*keys).agg(
         F.sum((F.col("place") == 0).cast("long")).alias("times"), F.sum("part0").alias("part0"), F.sum("part1").alias("part1"))
     # Rows of the same keys add the same parts as often as they occur.
@@ -109,10 +117,11 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", chunk:
     groups = landed(groups, "groups")
     several = groups.where("rows > 1").select(*group)
     # Chunkwise comparison of the texts of a group, the fingerprint standing for it.
-    members = prints.join(several, group).select("id", "mark", "text_sha256", *group)
+    members = landed(prints.join(several, group).select("id", "mark", "text_sha256", *group).distinct(), "members")
     texts = rows.select("id", "mark", "text_sha256", "norm")
     same = (F.col("a.id").eqNullSafe(F.col("b.id"))) & (F.col("a.mark") == F.col("b.mark")) & (F.col("a.text_sha256") == F.col("b.text_sha256"))
-    members = texts.alias("a").join(members.alias("b"), same).select("b.f0", "b.f1", "b.size", "a.norm")
+    # Where the members are few enough to be broadcast, texts outside groups never leave their task.
+    members = texts.alias("a").join(small(members).alias("b"), same).select("b.f0", "b.f1", "b.size", "a.norm")
     places = chunk_rows(members, group, "norm", chunk).groupBy(*group, "place").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     collided = landed(places.where("low <> high").select(*group).distinct(), "collisions")
     if collided.isEmpty():
