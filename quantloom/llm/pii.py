@@ -165,7 +165,7 @@ def spans(docs: DataFrame, keys: list[str], text: str = "_p_text") -> DataFrame:
     # Added spans must not overlap a base span: the largest base end before their end and the smallest base start after their start.
     own = Window.partitionBy(*keys)
     ahead = own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    behind = own.orderBy(F.col("start")).rangeBetween(0, Window.unboundedFollowing)
+    behind = own.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)  # a frame that only grows
     rows = rows.withColumns({"_p_last": F.max(F.when(F.col("base"), F.col("end"))).over(ahead),
                              "_p_next": F.min(F.when(F.col("base"), F.col("start"))).over(behind)})
     free = (F.coalesce(F.col("_p_last"), F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("_p_next"), F.col("end")) >= F.col("end"))
@@ -173,7 +173,7 @@ def spans(docs: DataFrame, keys: list[str], text: str = "_p_text") -> DataFrame:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """One row for each document with counts of base spans, their digest, and all spans."""
+    """One row for each document with counts of base spans, their digest, all spans and their number."""
     body = text_of()
     blob = F.sha2(body, 256)
     # Texts that no rule can match are left out first; of the others each text is scanned once.
@@ -184,8 +184,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     texts = texts.where(gate).dropDuplicates(["_p_blob"])
     found = spans(texts, ["_p_blob"])
     digest = found.groupBy("_p_blob").agg(
-        *[count_of(k) for k in BASE], listed(KINDS, True, BASE).alias("base"), listed(KINDS, True).alias("spans"))
+        *[count_of(k) for k in BASE], listed(KINDS, True, BASE).alias("base"), listed(KINDS, True).alias("spans"), F.count(F.lit(1)).alias("n_spans"))
     digest = landed(digest, "pii")
-    out = docs.select("doc_id", blob.alias("_p_blob")).join(small(digest), "_p_blob", "left")
+    out = docs.select("doc_id", blob.alias("_p_blob")).join(small(digest, long_column="spans"), "_p_blob", "left")
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE],
-                      F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+                      F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+                      F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"))

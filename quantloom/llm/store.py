@@ -13,6 +13,8 @@ from quantloom.session import work_path
 
 #: Largest table, in rows, that an operator broadcasts after counting it; a bigger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Largest sum of a text column in such a table, in bytes.
+BROADCAST_BYTES = 1 << 25
 #: Rows of an Arrow batch that goes to Python.
 ARROW_ROWS = 1_000
 
@@ -39,9 +41,17 @@ def in_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Dat
     return df.mapInArrow(function, schema)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A hint to broadcast a table, only where it has been counted and is small; else Spark joins by a shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None = None, long_column: str | None = None) -> DataFrame:
+    """A hint to broadcast a table, only where it has been counted and is small; else Spark joins by a shuffle.
+
+    ``long_column`` names a text column whose rows may be of any length; its bytes are counted too.
+    """
+    size = 0
+    if long_column is not None:
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(long_column)), F.lit(0))).first()
+    elif rows is None:
+        rows = df.count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def crc(column: str) -> Column:
