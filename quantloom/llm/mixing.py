@@ -12,7 +12,8 @@ full epoch, and those at the beginning of the last epoch once more.
 
 Defined cases: a null level is a node named ``(none)``; a weight that is missing is the default of its level, a weight of
 zero or less takes nothing; a null or empty text has no tokens and is never taken; rows that repeat, ids included, are
-taken alike; an empty table gives no rows. Extra columns are kept, names that begin with ``_m_`` are reserved.
+taken alike; an empty table gives no rows. Extra columns are kept, but for those named like a result (``n_tokens``, ``epochs``,
+``tokens_taken``), which is put in their place; names that begin with ``_m_`` are reserved.
 """
 
 from __future__ import annotations

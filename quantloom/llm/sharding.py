@@ -7,7 +7,8 @@ written from the runs have narrow minima and maxima in every column and a filter
 Text columns get equal-depth codes from the order of their values (one row for each value is counted), numbers get the
 position of their highest bit. A null has a place of its own before all values. Ties on the curve are ordered by the
 columns named in ``order``; rows that tie there too have the same content as far as the table tells, and any order of
-them is right. An empty table gives no rows. Extra columns are kept; columns that begin with ``_h_`` are reserved.
+them is right. An empty table gives no rows. Extra columns are kept, but for those named like a result (``shard``, ``slot``,
+``law``, for documents ``size`` and ``text_crc32``), which is put in their place; columns that begin with ``_h_`` are reserved.
 
 The place of a row in the whole order comes without a single sorted task: the table is dealt by ranges of the curve,
 sorted within each, and written with a running number; one count for each range then gives the offsets.

@@ -4,10 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from quantloom.llm import exact_dedup, near_dedup
+from quantloom.llm import text as text_module
+from quantloom.llm.text import chunks
+from quantloom.session import work_path
 
 EDGE = ["", None, "a", "A", "a b c d", "a  B c\td", "é É", "x " * 3000, "x " * 3001, " \n", "x" * 70_000, "x" * 69_999 + " x", "x" * 69_999 + "y"]
 
@@ -132,6 +137,54 @@ def test_near_groups_of_nulls_and_repeats(spark):
     assert near_dedup.dedup(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """A word over a and b and its complement: for hashes modulo 2 ** 64 they are equal whatever the base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_texts_are_not_linked(spark):
+    one, other = thue_morse(4096)
+    same = "these five words are equal "
+    rows = [(1, one), (2, other), (3, same + one), (4, same + other), (5, one)]
+    got = {r.doc_id: r.component_id for r in near_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    rows = [(1, 9, 100, 7), (2, 9, 100, 7), (3, 9, 200, 7), (4, 9, 200, 8), (5, 4, 1, 7), (6, 0, 100, 7)]
+    sets = spark.createDataFrame(rows, "id long, n long, proof long, node long").replace(0, 9, ["n"])
+    got = {r.id: r.node for r in near_dedup.told_apart(sets).collect()}
+    assert got[1] == got[2] == got[6] and len({got[1], got[3], got[5], got[4]}) == 4 and got[4] == 8
+
+
+def test_hashes_of_long_texts_in_steps(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)) + " " + "z" * 5000 + " end"
+    column = pa.array([text])
+    (_, _, whole), = chunks(column)
+    want = whole.word_hashes()
+    monkeypatch.setattr(text_module, "STEP_BYTES", 100)
+    (_, _, stepped), = chunks(column)
+    assert np.array_equal(stepped.word_hashes(), want) and len(np.unique(want)) == 3002
+
+
+def test_chunks_of_a_long_text(spark):
+    """Cut in one pass; three documents of 4 and 16 million characters, of which two differ in white space only."""
+    took = []
+    for n in (1_000_000, 4_000_000):
+        texts = ["ab\u00e9c" * n, "ab\u00e9 c" * n, "ab\u00e9c" * n + "x"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        docs.write.mode("overwrite").parquet(path := work_path(spark, "long"))
+        started = time.perf_counter()
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(spark.read.parquet(path)).collect()}
+        took.append(time.perf_counter() - started)
+        assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1)}
+    assert took[1] < 8 * took[0]
+    rows = exact_dedup.chunk_rows(spark.createDataFrame([(1, "ab\u00e9c" * 10), (2, "")], "k int, t string"), ["k"], "t", 7).collect()
+    assert [(r.place, r.chunk, r.after) for r in rows if r.k == 1][-1] == (5, ("ab\u00e9c" * 10)[35:], 0)
+    assert sum(len(r.chunk) for r in rows) == 40 and [r.after for r in rows if r.k == 2] == [0]
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200)], "a long, b long").repartition(5)
     got = {r.node: r.label for r in near_dedup.components(links).collect()}

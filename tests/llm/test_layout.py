@@ -124,6 +124,20 @@ def test_pipeline(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_extra_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["id", "epochs", "n_tokens", "tokens_taken", "size", "shard", "slot", "law", "text_crc32", "best", "label", "node", "mark", "a.b"]
+    odd = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        taken = [n for n in names if n in ("size", "shard", "slot", "law", "text_crc32") and name == "sharding"]
+        assert set(odd.columns) - set(taken) <= set(out.columns) and (name == "sharding" or out.columns == odd.columns)
+        wrong = F.lit(False)
+        for n in names:
+            wrong = wrong | ~F.col(f"`documents_{n}`" if n in taken else f"`{n}`").eqNullSafe(F.concat(F.lit(f"{n}-"), "doc_id"))
+        assert out.count() > 0 and out.where(wrong).count() == 0
+
+
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and queries.ORACLES.keys() <= queries.QUERIES.keys()
+    assert numbers == list(range(1, 14)) and queries.ORACLES.keys() <= queries.QUERIES.keys()

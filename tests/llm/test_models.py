@@ -1,9 +1,11 @@
 """The quality classifier, the toxicity tagger and decontamination."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import decontamination, quality, toxicity
@@ -196,11 +198,60 @@ def test_decontamination_equals_brute_force(spark):
 def test_every_fingerprint_within_the_radius_is_found():
     draw = np.random.default_rng(6)
     prints = draw.integers(0, 2 ** 63, (30, decontamination.TABLES)).astype(np.uint64)
-    index = decontamination.MultiIndex(prints)
-    for _ in range(200):
+    splits = [decontamination.MultiIndex(prints, spread) for spread in range(decontamination.BLOCK_RADIUS + 1)]
+    for turn in range(200):
+        index = splits[-1] if turn % 5 else splits[turn // 5 % len(splits)]
         k, t = draw.integers(30), draw.integers(decontamination.TABLES)
         query = draw.integers(0, 2 ** 63, (1, decontamination.TABLES)).astype(np.uint64)
         flips = draw.choice(64, decontamination.RADIUS, replace=False)
         query[0, t] = prints[k, t] ^ np.uint64(sum(1 << int(f) for f in flips))
         distance = np.bitwise_count(prints ^ query)
         assert sorted(index.search(query)[1]) == np.flatnonzero((distance <= decontamination.RADIUS).any(1)).tolist()
+
+
+def test_size_of_the_index_is_bounded():
+    near = [decontamination.near_count(16, r) for r in range(4)]
+    assert near == [len(decontamination.near_values(16, r)) for r in range(4)] == [1, 17, 137, 697]
+    for items in (1, 200, 700, 4_000, 20_000, 400_000):
+        entries = items * 12 * near[decontamination.spread_for(items)]
+        assert entries <= decontamination.ENTRIES
+    assert decontamination.spread_for(200) == 3 and decontamination.spread_for(20_000) == 1
+
+
+def test_long_text_in_pieces():
+    """Pieces find what one piece finds, and hold little: 2 million words with an item here and there."""
+    draw = np.random.default_rng(8)
+    items = [" ".join(f"i{k}w{draw.integers(10_000)}" for _ in range(n)) for k, n in enumerate((5, 40, 40, 300))]
+    marks = decontamination.Benchmark(list(range(4)), items)
+    words = [f"w{x}" for x in draw.integers(0, 50_000, 30_000)]
+    for at, k in ((0, 0), (4_080, 1), (8_190, 2), (12_000, 3), (29_700, 3)):
+        words[at:at + len(items[k].split())] = items[k].split()
+    column = pa.array([" ".join(words)])
+    (_, found), = marks.scan(column)
+    assert [f[0] for f in found] == [0, 1, 2, 3] and all(f[1] == 1.0 for f in found)
+    assert [f[2] for f in found] == [0, 4_080, 8_190, 12_000]
+    whole = decontamination.PIECE
+    try:
+        decontamination.PIECE = 1 << 20
+        assert list(marks.scan(column)) == [(0, found)]
+    finally:
+        decontamination.PIECE = whole
+    long = pa.array([" ".join(words * 66)])  # 2 million words
+    tracemalloc.start()
+    (_, again), = marks.scan(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in again] == [0, 1, 2, 3] and peak < 500e6
+
+
+def test_benchmark_in_slices(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    items = [(i, " ".join(f"t{x}" for x in draw.integers(0, 3_000, 12))) for i in range(300)]
+    docs = [(i, " ".join(["lead"] * 9 + items[i][1].split() + ["tail"] * 9)) for i in range(0, 300, 7)] + [(1000, "nothing here at all"), (1001, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items + [(500, ""), (501, None)], "item_id long, text string")
+    want = {(i, i) for i in range(0, 300, 7)}
+    for size in (1 << 26, 4_000):
+        monkeypatch.setattr(decontamination, "SLICE_BYTES", size)
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, benchmark).collect()} == want
+        assert sorted(r.doc_id for r in decontamination.keep_clean(frame, benchmark).collect()) == [1000, 1001]

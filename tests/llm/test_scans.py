@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import licenses, pii, secret_scan
 from quantloom.llm.spans import Rule
@@ -103,6 +105,28 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r.path: r.n_assign for r in every} == {"a": 1, "b": 1, "c": 0, "d": 1, "e": 1}
 
 
+def test_the_query_goes_through_the_ledger(spark):
+    """Half of the documents first; then only unseen pairs of blob and rule, but the whole result."""
+    ledger = work_path(spark, "ledger")
+    jwt = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10
+    docs = spark.createDataFrame([(i, f"token=abcdef{i % 30} {jwt}") for i in range(60)] + [(60, None)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_assign, r.n_spans) for r in secret_scan.scan_documents(docs, ledger).collect()}
+    assert out == {i: (1, 2) for i in range(60)} | {60: (0, 0)}
+    scanned = [(r.blob, x) for r in secret_scan.read_ledger(spark, ledger).collect() for x in r.rules]
+    every = [r.name for r in secret_scan.RULES]
+    assert len(scanned) == len(set(scanned)) == 31 * len(every)
+    parts = secret_scan.read_ledger(spark, ledger).groupBy(F.size("rules").alias("n")).count().collect()
+    assert {r["n"] for r in parts} == {1, len(every) - 1, len(every)}  # late rule; first increment; new blobs
+
+
+def test_many_spans_of_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "a@b.co " * n), (2, "a@b.co ssn 123-45-6789")], "doc_id long, text string")
+    started = time.perf_counter()
+    got = {r.doc_id: (r.n_email, r.n_spans) for r in pii.scan_documents(docs).collect()}
+    assert got[1] == (n, n) and got[2][0] == 1 and time.perf_counter() - started < 60
+
+
 def base_licenses(text):
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or ""))
     words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text), []
