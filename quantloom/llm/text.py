@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Primes below 2 ** 31 of the polynomial word hash and a base for each, and what combines words to shingles (an arbitrary odd
 #: number). Modulo a power of two such hashes are equal for some unlike texts whatever the base; modulo primes they aren't.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -24,22 +24,25 @@ def powers(base: int, prime: int, n: int) -> np.ndarray:
     have = _powers.get((base, prime))
     if have is None or len(have) < n:
         size = max(n, STEP_BYTES + 1)
-        have, done = np.ones(size, U64), 1
+        have, done = np.ones(size, np.uint32), 1
         while done < size:
             more = min(done, size - done)
-            have[done:done + more] = have[:more] * U64(pow(base, done, prime)) % U64(prime)
+            have[done:done + more] = have[:more].astype(U64) * U64(pow(base, done, prime)) % U64(prime)
             done += more
         _powers[base, prime] = have
     return have[:n]
 
 
 def running_sums(data: np.ndarray) -> list[np.ndarray]:
-    """For each prime the running sum of all bytes (plus one) times the powers of its base."""
+    """For each prime the running sum of all bytes (plus one) times the powers of its base, modulo the prime."""
     out = []
     for base, prime in zip(BASES, PRIMES):
         terms = (data.astype(U64) + U64(1)) * powers(base, prime, len(data))
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(terms if len(data) < 1 << 24 else terms % U64(prime), out=sums[1:])  # stays below 2 ** 64
+        if len(data) >= 1 << 24:  # else the sums stay below 2 ** 64
+            terms %= U64(prime)
+        np.cumsum(terms, out=terms)
+        sums = np.zeros(len(data) + 1, np.uint32)
+        sums[1:] = terms % U64(prime)
         out.append(sums)
     return out
 
@@ -49,7 +52,8 @@ def hashes_of_ranges(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarra
     out = np.zeros(len(starts), U64)
     for total, base, prime in zip(sums, BASES, PRIMES):
         back = powers(pow(base, -1, prime), prime, len(total))
-        out = (out << U64(31)) ^ ((total[ends] - total[starts]) % U64(prime) * back[starts] % U64(prime))
+        part = (total[ends].astype(U64) + U64(prime) - total[starts]) % U64(prime)
+        out = (out << U64(31)) ^ (part * back[starts] % U64(prime))
     return mix(out)
 
 
@@ -100,7 +104,7 @@ class Chunk:
 
     def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges in order of their starts. A long text is gone through in steps, each with sums of its own."""
-        if len(self.data) <= 2 * STEP_BYTES:
+        if len(self.data) <= STEP_BYTES:
             if self._sums is None:
                 self._sums = running_sums(self.data)
             return hashes_of_ranges(self._sums, starts, ends)
