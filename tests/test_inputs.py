@@ -174,3 +174,13 @@ def test_shared_folder(spark):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         remove_path(spark, "/somewhere/else")
+
+
+def test_books_and_accounts_meet_in_blocks(spark):
+    """However the two sides are cut, every funded account meets every asset of its book once."""
+    book = spark.createDataFrame([(s, f"{s}{i}", float(i)) for s in "ab" for i in range(1, 8)], "strategy string, id string, weight double")
+    accounts = spark.createDataFrame([(s, n, float(n)) for s in "abc" for n in range(-1, 10)], "strategy string, account int, value double")
+    want = {(s, n, f"{s}{i}"): float(n * i) for s in "ab" for n in range(1, 10) for i in range(1, 8)}
+    for sizes in ((2, 3), (100, 100)):
+        rows = target_notionals(book, accounts, None, ["strategy"], *sizes).collect()
+        assert len(rows) == len(want) and {(r.strategy, r.account, r.id): r.target_value for r in rows} == want
