@@ -417,6 +417,15 @@ def order_outcomes_unreadable(spark, d):
     return got.select("trade_id", "line", "status", "error", "total_sz", "actual_fee")
 
 
+@query(OUTCOMES + """ SELECT trade_id, line, CASE WHEN trade_id % 10 = 4 THEN 'failed' ELSE status END AS status,
+  CASE WHEN trade_id % 10 = 4 THEN 'Unexpected response format: {try "later"}' ELSE error END AS error FROM outcomes""")
+def order_outcomes_no_document(spark, d):
+    """Some responses are a text where a document belongs; it looks like one, but is none."""
+    text = F.when(F.col("trade_id") % 10 == 4, r'{"status":"ok","response":"{try \"later\"}"}').otherwise(F.col("response"))
+    got = O.classify_responses(T.order_log(spark, d).withColumn("response", text))
+    return got.select("trade_id", "line", "status", "error")
+
+
 # --- Fills and PnL ---------------------------------------------------------------------------------------------------
 
 FILL_SQL = "time, coin, side, oid, CAST(sz AS DOUBLE) AS size, px AS price"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quantloom import sources as S
@@ -85,6 +87,14 @@ def price_returns(spark, d):
     return rounded(days(P.price_returns(T.prices(spark, d)), "date"), "ret")
 
 
+@query(Q.with_(Q.PRICES, Q.RET) + f"SELECT CAST(date AS VARCHAR) AS date, id, close, {Q.r('ret', 'ret')} FROM ret JOIN prices USING (date, id)")
+def bucketed_panel(spark, d):
+    """Prices and returns read back from a bucketed table."""
+    name = f"prices_{uuid.uuid4().hex}"
+    S.write_price_table(T.prices(spark, d), name, work_path(spark, name))
+    return rounded(days(S.stored_prices(spark, name).join(S.stored_returns(spark, name), ["date", "id"]), "date"), "ret")
+
+
 WIDE_IDS = [f"Brand#{i}" for i in range(1, 26)]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from quantloom import streaming as R
@@ -38,6 +40,22 @@ def stream_trailing_totals(spark, d):
     return rounded(rounded(days(got, "window_start", "window_end"), "volume", places=2), "fees")
 
 
+@query(f"""WITH fills AS (SELECT epoch_ms(ts) AS time, value * 1000 AS v, user_id % 5 AS fee FROM events WHERE event_type = 'purchase'),
+now AS (SELECT epoch_ms(max(ts)) - 45296789 AS until FROM events),
+inside AS (SELECT fills.* FROM fills, now WHERE time BETWEEN until - 7 * 86400000 AND until)
+SELECT count(*) AS n_fills, {Q.r('coalesce(sum(v), 0)', 'volume', 2)}, {Q.r('coalesce(sum(CAST(fee AS DOUBLE)), 0)', 'actual_fees')},
+  {Q.r('coalesce(sum(v), 0) * 0.00035', 'estimated_fees')}, CAST(0 AS BIGINT) AS n_missing_fee FROM inside""")
+def stream_totals_from_now(spark, d):
+    """The seven days that end in the middle of a day, half a day before the last event."""
+    fills = T.fill_stream(spark, d).select(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), "coin", "sz", "px", "fee", "closedPnl")
+    path = work_path(spark, "fill-log")
+    R.write_fill_log(fills, path, work_path(spark, "fill-log-checkpoint")).awaitTermination()
+    last = T.table(spark, d, "events").agg(F.unix_millis(F.max("ts").cast("timestamp"))).first()[0]
+    now = datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=last - 45_296_789)
+    got = R.totals_until(spark, path, now, 7).select("n_fills", "volume", "actual_fees", "estimated_fees", "n_missing_fee")
+    return rounded(rounded(got, "actual_fees", "estimated_fees"), "volume", places=2)
+
+
 @query(Q.with_(Q.POSITIONS) + f""", marks AS (SELECT event_id, {COIN} AS coin, 1000 + value AS mid FROM events)
 SELECT event_id, coin, {Q.r('abs(szi * mid)', 'value')},
   {Q.r('CASE WHEN szi > 0 THEN (mid - entryPx) * szi ELSE (entryPx - mid) * abs(szi) END', 'unrealized_pnl')}

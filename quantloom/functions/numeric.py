@@ -57,6 +57,24 @@ def with_half_even(df: DataFrame, out: str, value: Column, decimals: Column) ->
     )
 
 
+# Two whole numbers hold a value below _SUMMABLE to 55 binary places, and some eight million such values add up without overflow.
+_HIGH, _LOW, _SUMMABLE = float(2**15), float(2**40), float(2**25)
+
+
+def order_free_sum(value: Column) -> Column:
+    """Sum of doubles whose bits do not depend on the order of the rows; 0 where there are none.
+
+    Each value is cut into two whole numbers, whose sums are exact, at 2 ** -55. Values from 2 ** 25 on, infinite ones and NaN are
+    added as doubles, so among several large finite ones the last bits may still differ.
+    """
+    scaled = value * _HIGH
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * _LOW)
+    fits, zero = F.abs(value) < _SUMMABLE, F.lit(0)
+    whole = F.coalesce(F.sum(F.when(fits, high)), zero).cast("double") + F.coalesce(F.sum(F.when(fits, low)), zero).cast("double") / _LOW
+    return whole / _HIGH + F.coalesce(F.sum(F.when(~fits, value)), F.lit(0.0))
+
+
 def with_size_up(df: DataFrame, out: str, notional: Column, price: Column, decimals: Column) -> DataFrame:
     """Adds ``out``: smallest size at ``decimals`` whose value reaches ``notional``; 0 for a price that is not positive."""
     step, raw = F.col(f"_{out}_step"), F.col(f"_{out}_raw")

@@ -22,18 +22,19 @@ def parse_fills(fills: DataFrame) -> DataFrame:
 
     ``unreadable`` marks a fill with a text that is there but is no number; what depends on it is NULL, or 0 for fee and PnL.
     """
-    has = set(fills.columns)
-    unreadable = F.lit(False)
-    for name in ("sz", "px", "fee", "closedPnl"):
-        if name in has:
-            unreadable = unreadable | (F.col(name).isNotNull() & _number(name).isNull())
-    zero = F.lit(0.0)
+    # Each text is read once, by a projection of its own; everything else looks at the numbers.
+    read = {name: f"_{name}_number" for name in ("sz", "px", "fee", "closedPnl") if name in fills.columns}
+    numbers = {name: F.col(number) for name, number in read.items()}
+    unreadable, zero = F.lit(False), F.lit(0.0)
+    for name, number in numbers.items():
+        unreadable = unreadable | (F.col(name).isNotNull() & number.isNull())
     return (
-        fills.withColumn("size", _number("sz")).withColumn("price", _number("px"))
-        .withColumn("value", F.col("size") * F.col("price"))
-        .withColumn("paid_fee", F.coalesce(_number("fee"), zero) if "fee" in has else zero)
-        .withColumn("pnl", F.coalesce(_number("closedPnl"), zero) if "closedPnl" in has else zero)
-        .withColumn("unreadable", unreadable)
+        fills.withColumns({number: _number(name) for name, number in read.items()})
+        .withColumns({
+            "size": numbers["sz"], "price": numbers["px"], "value": numbers["sz"] * numbers["px"],
+            "paid_fee": F.coalesce(numbers["fee"], zero) if "fee" in read else zero,
+            "pnl": F.coalesce(numbers["closedPnl"], zero) if "closedPnl" in read else zero, "unreadable": unreadable})
+        .drop(*read.values())
     )
 
 
@@ -68,22 +69,29 @@ def newest_fills(fills: DataFrame, limit: int) -> DataFrame:
                                                  if c in fills.columns]).limit(limit)
 
 
+def fee_sums(fills: DataFrame) -> list[Column]:
+    """Aggregates over :func:`parse_fills` of these fills from which :func:`fee_totals` follows; they add up over parts."""
+    missing = F.count_if(F.col("fee").isNull()) if "fee" in fills.columns else F.count(F.lit(1))
+    return [F.count(F.lit(1)).alias("n_fills"), F.sum("value").alias("volume"), F.sum("paid_fee").alias("actual_fees"),
+            missing.alias("n_missing_fee"), F.count_if("unreadable").alias("n_unreadable")]
+
+
+def fee_totals(sums: DataFrame, taker_rate: float = DEFAULT_TAKER_RATE) -> DataFrame:
+    """The row of :func:`fee_summary` from its sums."""
+    volume, paid = (F.coalesce(name, F.lit(0.0)) for name in ("volume", "actual_fees"))
+    return sums.select(
+        "n_fills", volume.alias("volume"), paid.alias("actual_fees"), (volume * taker_rate).alias("estimated_fees"), "n_missing_fee", "n_unreadable",
+    ).withColumn("fee_diff_pct", F.when(
+        F.col("actual_fees") > 0, F.abs(F.col("actual_fees") - F.col("estimated_fees")) / F.col("actual_fees") * 100))
+
+
 def fee_summary(fills: DataFrame, taker_rate: float = DEFAULT_TAKER_RATE) -> DataFrame:
     """One row: number of fills, volume, fees paid and estimated, their difference in percent, fills without a fee, and
     fills with an unreadable number, which the sums lack.
 
     The difference is NULL when no fee was paid.
     """
-    missing = F.count_if(F.col("fee").isNull()) if "fee" in fills.columns else F.count(F.lit(1))
-    return parse_fills(fills).agg(
-        F.count(F.lit(1)).alias("n_fills"),
-        F.coalesce(F.sum("value"), F.lit(0.0)).alias("volume"),
-        F.coalesce(F.sum("paid_fee"), F.lit(0.0)).alias("actual_fees"),
-        F.coalesce(F.sum(F.col("value") * taker_rate), F.lit(0.0)).alias("estimated_fees"),
-        missing.alias("n_missing_fee"),
-        F.count_if("unreadable").alias("n_unreadable"),
-    ).withColumn("fee_diff_pct", F.when(
-        F.col("actual_fees") > 0, F.abs(F.col("actual_fees") - F.col("estimated_fees")) / F.col("actual_fees") * 100))
+    return fee_totals(parse_fills(fills).agg(*fee_sums(fills)), taker_rate)
 
 
 def pnl_by_coin(fills: DataFrame, positions: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ RESTING_TIFS = ("Gtc", "Alo")
 REJECTED = "Order rejected or not filled"
 UNKNOWN = "Unknown error"
 NO_STATUS = "No status returned"
+NO_DOCUMENT = "Unexpected response format: "
 UNREADABLE = "Unreadable fill"
 
 
@@ -24,15 +25,17 @@ def classify_responses(trades: DataFrame, response: str = "response", tif: str =
 
     The first status of a response counts. Slippage is in percent of the expected price and positive when the fill was
     worse; a fill without a price counts as filled at the expected one. A fill whose price, size or fee is there but is no number
-    counts as failed, with a text that says so.
+    counts as failed, with a text that says so, and so does a response that is there but is no document; null counts as absent.
     """
     parsed = trades.withColumn("_r", F.from_json(response, RESPONSE_SCHEMA))
     first = F.get("_r.response.data.statuses", 0)
     bad = F.coalesce(F.col("_r.status") == "err", F.lit(False))
     unreadable = F.lit(False)
     for name in ("avgPx", "totalSz", "fee"):
-        text = F.col(f"_s.filled.{name}")
-        unreadable = unreadable | (text.isNotNull() & F.expr(f"try_cast(_s.filled.{name} AS double)").isNull())
+        unreadable = unreadable | (F.col(f"_s.filled.{name}").isNotNull() & F.expr(f"try_cast(_s.filled.{name} AS double)").isNull())
+    # Anything but a document leaves the parsed response empty, its text is there all the same.
+    text = F.get_json_object(response, "$.response")
+    no_document = F.col("_r.response").isNull() & text.isNotNull()
     garbled = ~bad & F.col("_s.filled").isNotNull() & unreadable
     filled = ~bad & F.col("_s.filled").isNotNull() & ~unreadable
     resting = ~bad & F.col("_s.resting").isNotNull() & F.col(tif).isin(*RESTING_TIFS)
@@ -42,8 +45,8 @@ def classify_responses(trades: DataFrame, response: str = "response", tif: str =
         parsed.withColumn("_s", first)
         .withColumn("status", F.when(filled, "filled").when(resting, "resting").otherwise("failed"))
         .withColumn("error", F.when(F.col("status") == "failed", F.when(
-            bad, F.coalesce(F.get_json_object(response, "$.response"), F.lit(UNKNOWN))
-        ).when(F.col("_s").isNull(), NO_STATUS).when(garbled, UNREADABLE).otherwise(F.coalesce("_s.error", F.lit(REJECTED)))))
+            bad, F.coalesce(text, F.lit(UNKNOWN))
+        ).when(no_document, F.concat(F.lit(NO_DOCUMENT), text)).when(F.col("_s").isNull(), NO_STATUS).when(garbled, UNREADABLE).otherwise(F.coalesce("_s.error", F.lit(REJECTED)))))
         .withColumn("avg_px", F.when(F.col("status") == "filled", F.coalesce(
             F.expr("try_cast(_s.filled.avgPx AS double)"), expected)))
         .withColumn("total_sz", F.when(F.col("status") == "filled", F.coalesce(

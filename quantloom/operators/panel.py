@@ -19,6 +19,11 @@ def price_returns(prices: DataFrame, chunk_days: int = 32) -> DataFrame:
     calendar chunks: the last close of every chunk is computed first (a small aggregate, folded map-side), handed to
     the asset's next chunk as one extra row, and the window runs within ``(id, chunk)``.
     """
+    return chunk_returns(chunked_prices(prices, chunk_days))
+
+
+def chunked_prices(prices: DataFrame, chunk_days: int = 32) -> DataFrame:
+    """``(date, id, close, _chunk, _extra)``: prices in calendar chunks, each after the first with the close before it as an extra row."""
     chunked = prices.select("date", "id", "close", chunk_of(F.col("date"), chunk_days).alias("_chunk"))
     chunk_ends = chunked.groupBy("id", "_chunk").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
     handed_on = chunk_ends.select(
@@ -26,7 +31,11 @@ def price_returns(prices: DataFrame, chunk_days: int = 32) -> DataFrame:
         F.lead("_chunk").over(Window.partitionBy("id").orderBy("_chunk")).alias("_chunk"),
         F.lit(True).alias("_extra"),
     ).where(F.col("_chunk").isNotNull())
-    rows = chunked.withColumn("_extra", F.lit(False)).unionByName(handed_on)
+    return chunked.withColumn("_extra", F.lit(False)).unionByName(handed_on)
+
+
+def chunk_returns(rows: DataFrame) -> DataFrame:
+    """The returns of :func:`price_returns` from :func:`chunked_prices`, by one window within each chunk."""
     by_date = Window.partitionBy("id", "_chunk").orderBy("date")
     before = F.lag("close").over(by_date)
     # Rows of one asset and date are neighbours here, so repeats are seen without another pass.

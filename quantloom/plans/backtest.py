@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, StrategyParams
-from ..functions import chunk_of, plus_days
+from ..functions import chunk_of, order_free_sum, plus_days
 from ..operators.panel import (
     TradingWindow, kept_steps, price_returns, step_of_date, to_all_tasks, trading_dates, trading_window, usable, usable_predictions,
 )
@@ -68,14 +68,21 @@ Runs = Callable[[DataFrame], DataFrame]
 
 def runs_of(spark: SparkSession, params: list[tuple[int, StrategyParams]]) -> Runs:
     """Gives each row all runs of its rebalance schedule. The table of numbered runs is sent to every task if it is within
-    the bounds of this module, else joined by a shuffle."""
+    the bounds of this module. Beyond them rows are dealt by a hash to four parts for each partition of a shuffle, so that
+    partitions get about as many parts, and the runs are repeated for each part: the rows of one schedule, or of a single run, are
+    never one task."""
     sums = {key: rank_sums(*key) for _, p in params for key in ((p.num_long, p.rank_power), (p.num_short, p.rank_power))}
     table = spark.createDataFrame(
         [(run, p.rebalance_days, p.num_long, p.num_short, float(p.rank_power), sums[p.num_long, p.rank_power], sums[p.num_short, p.rank_power])
          for run, p in params], RUN_SCHEMA)
     numbers = sum(p.num_long + p.num_short for _, p in params)
     within = len(params) <= MAX_RUNS_PER_PLAN and numbers <= MAX_NUMBERS_PER_PLAN
-    return lambda rows: rows.join(F.broadcast(table) if within else table, "rebalance_days")
+    if within:
+        return lambda rows: rows.join(F.broadcast(table), "rebalance_days")
+    parts = 4 * shuffle_width(spark)
+    repeated = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return lambda rows: rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")).join(
+        repeated, ["rebalance_days", "_part"]).drop("_part")
 
 
 def _uses(panel: ScheduledPanel) -> DataFrame:
@@ -134,11 +141,14 @@ def run_flows(panel: ScheduledPanel, runs: Runs) -> DataFrame:
     spark = panel.calendar.sparkSession
     # A fixed partition count: the rows are few here, but each will meet all runs of its schedule.
     rows = _contributions(panel).repartition(shuffle_width(spark), "rebalance_days", "date")
+    # Sums that do not depend on how the rows were spread, so neither do a run's metrics nor its place among other runs.
     return (
         with_unit_weights(runs(rows), ["old", "new"])
+        .select("rebalance_days", "date", "run",
+                F.when(F.col("old_weight") != 0, F.col("old_weight") * F.col("ret")).otherwise(0.0).alias("_earned"),
+                (F.col("changes") * F.abs(F.col("new_weight") - F.col("old_weight"))).alias("_traded"))
         .groupBy("rebalance_days", "date", "run")
-        .agg(F.sum(F.when(F.col("old_weight") != 0, F.col("old_weight") * F.col("ret")).otherwise(0.0)).alias("returns"),
-             F.sum(F.col("changes") * F.abs(F.col("new_weight") - F.col("old_weight"))).alias("turnover"))
+        .agg(order_free_sum(F.col("_earned")).alias("returns"), order_free_sum(F.col("_traded")).alias("turnover"))
         .select("run", "date", "returns", "turnover")
     )
 

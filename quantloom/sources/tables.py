@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import PREDICTION_COLUMNS, PRICE_COLUMNS, SOURCE_PRESETS
+from ..operators.panel import chunk_returns, chunked_prices
 
 
 def load_table(source: str | DataFrame, spark: SparkSession | None = None,
@@ -106,3 +107,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def write_price_table(prices: DataFrame, name: str, path: str | None = None, buckets: int = 64, chunk_days: int = 32) -> None:
+    """Store canonical prices as the catalog table ``name``, bucketed by asset and calendar chunk and sorted by date.
+
+    The one shuffle of the panel happens here: the close before a chunk is stored with it, so returns are read off each bucket.
+    An asset with much of the panel is spread over as many buckets as it has chunks. ``path`` makes an external table.
+    """
+    rows = chunked_prices(prices, chunk_days).select("date", "id", "close", F.col("_chunk").alias("chunk"), F.col("_extra").alias("handed_on"))
+    # Partitions and buckets are cut by the same hash, so each task writes the one file of its bucket.
+    writer = rows.repartition(buckets, "id", "chunk").write.mode("overwrite").bucketBy(buckets, "id", "chunk").sortBy("id", "chunk", "date")
+    (writer.option("path", path) if path else writer).format("parquet").saveAsTable(name)
+
+
+def stored_prices(spark: SparkSession, name: str) -> DataFrame:
+    """``(date, id, close)`` of a table by :func:`write_price_table`."""
+    return spark.table(name).where(~F.col("handed_on")).select("date", "id", "close")
+
+
+def stored_returns(spark: SparkSession, name: str) -> DataFrame:
+    """The returns of a table by :func:`write_price_table`, without an exchange; for ``returns=`` of backtests and sweeps."""
+    return chunk_returns(spark.table(name).withColumnsRenamed({"chunk": "_chunk", "handed_on": "_extra"}))

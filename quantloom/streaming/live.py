@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fills import parse_fills
+from ..config import DEFAULT_TAKER_RATE
+from ..operators.fills import DAY_MS, fee_sums, fee_totals, parse_fills
 from ..session import child_names, remove_path
 
 
@@ -135,6 +137,56 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     )
 
 
+# Folders of a fill log and the columns by which they are partitioned.
+_FILLS, _PANES, _PANE, _WRITTEN = "fills", "panes", "pane", "written_by"
+
+
+def write_fill_log(stream: DataFrame, path: str, checkpoint: str, pane_ms: int = DAY_MS, keep_panes: int | None = None, **trigger) -> StreamingQuery:
+    """Keep fills ``(time, ...)`` such that their totals up to any moment can be read: see :func:`totals_until`.
+
+    A micro-batch adds its fills, and their sums for each pane of ``pane_ms`` milliseconds, below ``path``; a replayed batch overwrites
+    what it wrote. Fills may be late by any time. With ``keep_panes`` only so many of the newest panes stay after each batch.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        placed = batch.withColumns({_PANE: F.floor(F.col("time") / pane_ms).cast("bigint"), _WRITTEN: F.lit(batch_id)})
+        for name, rows in ((_FILLS, placed), (_PANES, parse_fills(placed).groupBy(_PANE, _WRITTEN).agg(*fee_sums(placed)))):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PANE, _WRITTEN).parquet(os.path.join(path, name))
+        if keep_panes is not None:
+            panes = sorted(_panes(spark, path))
+            for old in panes[:-keep_panes]:
+                for name in (_PANES, _FILLS):  # a pane without sums is not read, whatever is left of its fills
+                    remove_path(spark, os.path.join(path, name, f"{_PANE}={old}"), below=path)
+
+    return (
+        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(keep).start()
+    )
+
+
+def _panes(spark: SparkSession, path: str) -> list[int]:
+    names = child_names(spark, os.path.join(path, _PANES))
+    return [int(n.removeprefix(f"{_PANE}=")) for n in names if n.startswith(f"{_PANE}=")]
+
+
+def totals_until(spark: SparkSession, path: str, now: datetime, days: int, pane_ms: int = DAY_MS, taker_rate: float = DEFAULT_TAKER_RATE) -> DataFrame:
+    """``fee_summary`` of the last ``days`` days up to ``now``, to the millisecond and both ends included, from a fill log.
+
+    Whole panes count by their sums. Only the panes at both ends are cut, and only their folders of fills are read.
+    """
+    until = int(now.replace(tzinfo=now.tzinfo or timezone.utc).timestamp() * 1000)
+    since = until - days * DAY_MS
+    first, last = since // pane_ms, until // pane_ms
+    cut = [p for p in sorted({first, last}) if p * pane_ms < since or (p + 1) * pane_ms - 1 > until]
+    sums = spark.read.parquet(os.path.join(path, _PANES)).where(F.col(_PANE).between(first, last) & ~F.col(_PANE).isin(cut))
+    fills = spark.read.parquet(os.path.join(path, _FILLS)).where(F.col(_PANE).isin(cut) & F.col("time").between(since, until))
+    names = ["n_fills", "volume", "actual_fees", "n_missing_fee", "n_unreadable"]
+    parts = sums.select(*names).unionByName(parse_fills(fills).agg(*fee_sums(fills)))
+    zero = F.lit(0).cast("bigint")
+    return fee_totals(parts.agg(*[(F.sum(n) if n in ("volume", "actual_fees") else F.coalesce(F.sum(n), zero)).alias(n) for n in names]), taker_rate)
+
+
 def write_appends(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append the rows of a stateless stream as Parquet."""
     return (

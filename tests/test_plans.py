@@ -1,13 +1,15 @@
 """Shape of the plans: what reaches the scan, how joins are made, how windows are split."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
 
 from quantloom.config import BacktestConfig, StrategyParams
-from quantloom.functions import with_place
+from quantloom.functions import order_free_sum, with_place
 from quantloom.operators.panel import price_returns
-from quantloom.plans import parameter_grid, run_backtest, run_sweep
+from quantloom.plans import backtest, parameter_grid, run_backtest, run_sweep
+from quantloom.sources import stored_prices, stored_returns, write_price_table
 from checks import tables as T
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,73 @@ def test_rows_are_numbered_by_ranges(spark):
     assert [r["place"] for r in placed.orderBy("place").collect()] == list(range(1, 10_001))
     assert [r["id"] for r in with_place(rows.orderBy("id")).orderBy("place").collect()] == list(range(10_000))
     assert with_place(rows.where("id < 0"), [F.col("id")]).collect() == []
+
+
+def test_bucketed_panel_is_read_without_exchange(spark, tmp_path):
+    prices = T.prices(spark, SF)
+    write_price_table(prices, "bucketed_prices", str(tmp_path / "prices"), buckets=6, chunk_days=50)
+    returns = stored_returns(spark, "bucketed_prices")
+    assert "Exchange" not in plan_of(returns) and plan_of(returns).count("FileScan") == 1
+    want = sorted(map(tuple, price_returns(prices).collect()), key=str)
+    assert sorted(map(tuple, returns.collect()), key=str) == want
+    assert sorted(map(tuple, stored_prices(spark, "bucketed_prices").collect())) == sorted(map(tuple, prices.select("date", "id", "close").collect()))
+    config = BacktestConfig(StrategyParams(3, 3, 1.0, 10, 1.0))
+    runs = [run_backtest(prices, T.predictions(spark, SF), config, given).stats.first() for given in (None, returns)]
+    assert runs[0] == runs[1]
+    spark.sql("DROP TABLE bucketed_prices")
+
+
+def with_settings(spark, settings, do):
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        return do()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_metrics_do_not_depend_on_the_partitions(spark):
+    """Every bit of every metric, so that ranks of nearly equal runs are the same each time."""
+    grid = parameter_grid(StrategyParams(), [2, 5], [1, 4], [1.0, 1.5], [8], [0.0, 0.7])
+
+    def metrics(parts, shuffled):
+        prices, predictions = (df.repartition(parts, F.rand(shuffled)) for df in (T.prices(spark, SF), T.predictions(spark, SF)))
+        return sorted(map(tuple, with_settings(
+            spark, {"spark.sql.shuffle.partitions": str(parts)}, lambda: run_sweep(prices, predictions, grid, BacktestConfig()).collect())))
+
+    first = metrics(2, 1)
+    assert len(first) == len(grid) and first == metrics(7, 2)
+
+
+def test_order_free_sum(spark):
+    values = [0.1, -0.3, 1e-9, 2.0 ** 24 + 0.7, -(2.0 ** 24), 1 / 3, -1e-30, None] * 500
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    sums = {rows.repartition(n, F.rand(n)).agg(order_free_sum(F.col("v"))).first()[0] for n in (1, 3, 8)}
+    assert len(sums) == 1 and abs(sums.pop() - math.fsum(v for v in values if v is not None)) < 1e-6
+    kinds = {"nan": [float("nan"), 1.0], "inf": [float("inf"), 1.0], "both": [float("inf"), float("-inf")], "large": [1e300, 1.0], "none": [None]}
+    flat = spark.createDataFrame([(k, v) for k, vs in kinds.items() for v in vs], "k string, v double")
+    got = dict(map(tuple, flat.groupBy("k").agg(order_free_sum(F.col("v"))).collect()))
+    assert math.isnan(got["nan"]) and math.isnan(got["both"]) and got["inf"] == float("inf") and got["large"] == 1e300 and got["none"] == 0.0
+
+
+def test_wide_runs_meet_rows_in_parts(spark, monkeypatch):
+    """With a table of runs beyond the bounds of a broadcast the rows of one schedule are spread over many tasks."""
+    prices, predictions = T.prices(spark, SF), T.predictions(spark, SF)
+    config = BacktestConfig(StrategyParams(5, 4, 1.0, 10, 1.0))
+    want = run_backtest(prices, predictions, config).stats.first()
+    monkeypatch.setattr(backtest, "MAX_RUNS_PER_PLAN", 0)
+    monkeypatch.setattr(backtest, "MAX_NUMBERS_PER_PLAN", 0)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+    def spread():
+        rows = spark.range(4_000).selectExpr("10 AS rebalance_days", "id")
+        met = backtest.runs_of(spark, [(0, config.params)])(rows)
+        assert "BroadcastHashJoin" not in plan_of(met)
+        counts = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        return counts, run_backtest(prices, predictions, config).stats.first()
+
+    counts, got = with_settings(spark, settings, spread)
+    assert sum(counts) == 4_000 and max(counts) <= 3_000 and got == want

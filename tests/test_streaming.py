@@ -1,10 +1,11 @@
-from datetime import datetime, timedelta
+import re
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom import streaming as R
-from quantloom.operators.fills import pnl_by_coin
+from quantloom.operators.fills import DAY_MS, fee_summary, fills_last_days, pnl_by_coin
 from quantloom.operators.signals import latest_predictions
 from quantloom.session import child_names
 
@@ -107,3 +108,38 @@ def test_newest_marks_meet_positions(spark, tmp_path):
     R.write_changes(marks, str(tmp_path / "out"), str(tmp_path / "cp"), each=apply).awaitTermination()
     got = {r["coin"]: r["value"] for r in R.read_latest(spark, str(tmp_path / "out"), ["coin"]).collect()}
     assert got == {"A": 22.0, "B": 5.0} and sum(seen) == 4
+
+
+PANE = 7 * 3_600_000
+
+
+def test_totals_until_any_moment(spark, tmp_path):
+    """After each batch the log gives what the batch operator gives over the fills so far, wherever the window ends."""
+    start = datetime(2024, 1, 1, 6, tzinfo=timezone.utc)
+    at = lambda hours: int((start + timedelta(hours=hours)).timestamp() * 1000)
+    schema = "time bigint, coin string, sz string, px string, fee string, closedPnl string"
+    parts = [[(at(9 * (3 * p + i)) + p, f"C{i % 2}", str(i + 1), "10", None if i == 2 else "0.25", "0") for i in range(4)] for p in range(4)]
+    parts.append([(at(1), "C0", "3", "10", "x", "0"), (at(30), "C1", "no", "10", "1", "0")])  # late, and unreadable
+    moments = [(start + timedelta(hours=h, milliseconds=ms), days) for h, ms, days in
+               ((0, 0, 1), (27, 0, 1), (27, -1, 1), (33, 1, 1), (90, 3, 2), (66, 0, 3), (18, 0, 30), (-30, 0, 1), (24 * 50, 0, 1))]
+    for p, rows in enumerate(parts):
+        stream = files(spark, str(tmp_path / "in"), [rows], schema)
+        path = str(tmp_path / "log")
+        R.write_fill_log(stream, path, str(tmp_path / "cp"), PANE).awaitTermination()
+        for now, days in moments if p == len(parts) - 1 else moments[p:p + 2]:
+            got = R.totals_until(spark, path, now, days, PANE).first()
+            want = fee_summary(fills_last_days(spark.read.parquet(str(tmp_path / "in")), days, now)).first()
+            assert got.asDict() == pytest.approx(want.asDict()), (p, now, days)
+
+
+def test_fill_log_reads_the_cut_panes_only_and_forgets_old_ones(spark, tmp_path):
+    schema = "time bigint, coin string, sz string, px string, fee string, closedPnl string"
+    rows = [(d * DAY_MS + 5, "A", "1", "1", "1", "0") for d in range(20_000, 20_020)]
+    path = str(tmp_path / "log")
+    R.write_fill_log(files(spark, str(tmp_path / "in"), [rows], schema), path, str(tmp_path / "cp"), keep_panes=12).awaitTermination()
+    assert sorted(n for n in child_names(spark, path + "/panes") if "=" in n) == [f"pane={d}" for d in range(20_008, 20_020)]
+    now = datetime(1970, 1, 1) + timedelta(days=20_019, hours=3)
+    totals = R.totals_until(spark, path, now, 7)
+    assert totals.first()["n_fills"] == 7
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*IN \(20012,20019\)|PartitionFilters: \[[^\]]*INSET 20012, 20019", plan)
