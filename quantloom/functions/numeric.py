@@ -1,9 +1,9 @@
 """Rounding rules for order sizes and prices.
 
 Half-to-even rounding looks at the exact binary value of a double, as the float rounding of common languages does; SQL
-``bround`` looks at its shortest decimal text instead and differs on values such as 2.675. Each rule adds columns in
-several small projections. Every intermediate value is used more than once by the next, so none is computed twice and
-the generated code stays small.
+``bround`` looks at its shortest decimal text instead and differs on values such as 2.675. ``format_number`` rounds the
+exact value, so the rule is one expression of SQL text over two columns: it takes few calls to build, and the generated
+code stays small.
 """
 
 from __future__ import annotations
@@ -15,46 +15,28 @@ from pyspark.sql import functions as F
 MAX_PRICE_DECIMALS = 6
 INTEGER_PRICE_ABOVE = 100_000
 PRICE_DIGITS = 5
-# Powers of ten up to this one are exact doubles.
-EXACT_POWER = 22
-_SPLIT = float(2**27 + 1)
+#: No double has a digit that counts beyond this place.
+LAST_PLACE = 340
+#: From here on neighbouring doubles are whole numbers or farther apart.
 _LARGEST = float(2**53)
 
 
 def with_half_even(df: DataFrame, out: str, value: Column, decimals: Column) -> DataFrame:
     """Adds ``out``: ``value`` rounded half to even at a per-row number of decimals, any integer; NULL decimals give NULL.
 
-    With decimals the product with the power of ten is taken with its exact error (both factors are split into halves
-    whose products are exact), so the distance from the midpoint is known exactly. Where the product is not below
-    2 ** 53 neighbouring decimals lie closer than neighbouring doubles and the value stays. Below zero the exact
-    remainder decides. Beyond EXACT_POWER places the value is first scaled by the power that is left over, which rounds once.
+    With decimals the text of the exactly rounded value is read back as the nearest double. Below zero decimals the exact
+    remainder by the power of ten decides, and values from 2 ** 53 on stay. NaN and infinite values stay.
     """
-    a, m, p, e, n, d, s, v, k, r = (F.col(f"_{out}_{x}") for x in "ampendsvkr")
-    up = ((d > 0) | ((d == 0) & (n % 2 == 1))).cast("double")
-    # Only a product of 2 ** 52 or more can have a midpoint below it.
-    down = ((e == -0.5) & (p == n) & (n % 2 == 1)).cast("double")
-
-    def split(x: Column) -> tuple[Column, Column]:
-        high = x * _SPLIT - (x * _SPLIT - x)
-        return high, x - high
-
-    (a1, a2), (m1, m2) = split(a), split(m)
-    fine = F.signum(v) * ((n + up - down) / m) / k
-    half = m / 2
-    over = (r > half) | ((r == half) & (((a - r) / m) % 2 == 1))
-    coarse = F.signum(v) * ((a - r) + F.when(over, m).otherwise(0.0))
-    return (
-        df.withColumns({f"_{out}_v": value.cast("double"), f"_{out}_s": decimals.cast("int")})
-        .withColumns({f"_{out}_k": F.pow(F.lit(10.0), F.greatest(s - EXACT_POWER, F.lit(0)).cast("double")),
-                      f"_{out}_m": F.pow(F.lit(10.0), F.when(s < 0, -s).otherwise(F.least(s, F.lit(EXACT_POWER))).cast("double"))})
-        .withColumns({f"_{out}_a": F.abs(v) * k})
-        .withColumns({f"_{out}_p": a * m, f"_{out}_r": a % m})
-        .withColumns({f"_{out}_e": ((a1 * m1 - p) + a1 * m2 + a2 * m1) + a2 * m2, f"_{out}_n": F.floor(F.least(p, F.lit(_LARGEST))).cast("double")})
-        .withColumns({f"_{out}_d": ((p - n) - 0.5) + e})
-        .withColumn(out, F.when(s.isNotNull(), F.when((s < 0) & (a < _LARGEST), F.when(m < float("inf"), coarse).otherwise(0.0))
-                                .when((s < 0) | (p >= _LARGEST), v).otherwise(fine)))
-        .drop(*[f"_{out}_{x}" for x in "ampendsvkr"])
-    )
+    v, s = f"`_{out}_v`", f"`_{out}_s`"
+    m = f"pow(10D, -{s})"
+    over = f"abs({v}) % {m}"
+    rounded = f"""CASE
+        WHEN {s} >= 0 AND abs({v}) < double('infinity') THEN double(replace(format_number({v}, least({s}, {LAST_PLACE})), ',', ''))
+        WHEN {s} < 0 AND abs({v}) < {_LARGEST:.0f}D THEN signum({v}) * ((abs({v}) - {over}) + CASE
+            WHEN {over} > {m} / 2 OR ({over} = {m} / 2 AND ((abs({v}) - {over}) / {m}) % 2 = 1) THEN {m} ELSE 0D END)
+        WHEN {s} IS NOT NULL THEN {v} END"""
+    held = df.withColumns({f"_{out}_v": value.cast("double"), f"_{out}_s": decimals.cast("int")})
+    return held.withColumn(out, F.expr(rounded)).drop(f"_{out}_v", f"_{out}_s")
 
 
 # Two whole numbers hold a value below _SUMMABLE to 55 binary places, and some eight million such values add up without overflow.
@@ -77,23 +59,23 @@ def order_free_sum(value: Column) -> Column:
 
 def with_size_up(df: DataFrame, out: str, notional: Column, price: Column, decimals: Column) -> DataFrame:
     """Adds ``out``: smallest size at ``decimals`` whose value reaches ``notional``; 0 for a price that is not positive."""
-    step, raw = F.col(f"_{out}_step"), F.col(f"_{out}_raw")
+    step, raw = f"`_{out}_step`", f"`_{out}_raw`"
     sized = df.withColumns({
         f"_{out}_step": F.pow(F.lit(10.0), -decimals),
         f"_{out}_raw": F.when(price > 0, F.try_divide(notional, price)).otherwise(0.0)})
-    return with_half_even(sized, out, F.when(raw > 0, F.ceil(raw / step) * step).otherwise(0.0), decimals).drop(
-        f"_{out}_step", f"_{out}_raw")
+    whole = F.expr(f"CASE WHEN {raw} > 0 THEN ceil({raw} / {step}) * {step} ELSE 0D END")
+    return with_half_even(sized, out, whole, decimals).drop(f"_{out}_step", f"_{out}_raw")
 
 
 def with_perp_price(df: DataFrame, out: str, price: Column, size_decimals: Column) -> DataFrame:
     """Adds ``out``: whole numbers above 100 000, else five significant digits and at most six decimals minus the size
     decimals. Where the size decimals are unknown only the five digits apply.
     """
-    px, five = F.col(f"_{out}_px"), F.col(f"_{out}_five")
-    digits = F.when(px == 0, 0).otherwise(F.lit(PRICE_DIGITS - 1) - F.floor(F.log10(F.abs(px)))).cast("int")
+    px, places, five = f"`_{out}_px`", f"`_{out}_places`", f"`_{out}_five`"
     # The five digits do not apply to a price above the limit, which is only made whole.
-    first = F.when(px > INTEGER_PRICE_ABOVE, 0).otherwise(digits)
-    once = with_half_even(df.withColumn(f"_{out}_px", price), f"_{out}_five", px, first)
-    twice = with_half_even(once, f"_{out}_all", five, F.lit(MAX_PRICE_DECIMALS) - size_decimals)
-    whole = (px > INTEGER_PRICE_ABOVE) | size_decimals.isNull()
-    return twice.withColumn(out, F.when(whole, five).otherwise(F.col(f"_{out}_all"))).drop(*[f"_{out}_{x}" for x in ("px", "five", "all")])
+    digits = F.expr(f"CASE WHEN {px} > {INTEGER_PRICE_ABOVE} OR {px} = 0 THEN 0 ELSE {PRICE_DIGITS - 1} - floor(log10(abs({px}))) END")
+    held = df.withColumns({f"_{out}_px": price, f"_{out}_places": F.lit(MAX_PRICE_DECIMALS) - size_decimals})
+    once = with_half_even(held, f"_{out}_five", F.col(px), digits)
+    twice = with_half_even(once, f"_{out}_all", F.col(five), F.col(places))
+    chosen = F.expr(f"CASE WHEN {px} > {INTEGER_PRICE_ABOVE} OR {places} IS NULL THEN {five} ELSE `_{out}_all` END")
+    return twice.withColumn(out, chosen).drop(*[f"_{out}_{x}" for x in ("px", "places", "five", "all")])

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 from datetime import date, datetime
 
@@ -22,8 +23,18 @@ def test_rounding_matches_python(spark):
     values += [rng.uniform(0, 10 ** rng.randint(-4, 6)) for _ in range(300)]
     values += [round(rng.uniform(0, 1000), 4) + 0.00005 for _ in range(300)]
     rows = [(v * s, d) for v in values for s in (1, -1) for d in range(-6, 16)] + [(15.0, -1), (25.0, -1), (250.0, -2), (1.0, None), (1.23456789012345, 12), (2.0 ** 52 + 0.5, 0), (4503599627370497.5, 0), (1e300, 5), (1e300, -5), (7.0, -400), (1e-20, 18), (5e-324, 300)]
+    # Both neighbours of a midpoint, and doubles that are one.
+    for d in (0, 1, 2, 4, 6, 9, 12, 20, 30):
+        for k in (rng.randrange(10 ** 7) for _ in range(60)):
+            middle = (k + 0.5) / 10.0 ** d
+            rows += [(middle, d), (math.nextafter(middle, 0.0), d), (-math.nextafter(middle, math.inf), d)]
+        rows += [((2 * k + 1) / 2.0 ** (d + 1), d) for k in range(20)]
+    rows += [(math.inf, 2), (-math.inf, -2), (None, 2), (1.5, 2 ** 31 - 1)]
     frame = spark.createDataFrame(rows, "v double, d int")
     for r in with_half_even(frame, "got", F.col("v"), F.col("d")).collect():
+        if r["v"] is None or math.isinf(r["v"]):
+            assert r["got"] == r["v"]
+            continue
         assert r["got"] == (None if r["d"] is None else round(r["v"], r["d"])), r
 
 
