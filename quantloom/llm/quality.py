@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.stats import NAMES, statistics
-from quantloom.llm.store import held_out, in_arrow, landed, text_of
+from quantloom.llm.store import BROADCAST_ROWS, held_out, in_arrow, landed, text_of
 
 FEATURES = 160
 #: Width of the kernel: projections of the standardised statistics have this standard deviation.
@@ -32,8 +32,6 @@ GAMMA = 0.25
 RIDGE = 1e-3
 BINS = 512
 THRESHOLD = 0.3
-#: Tasks that sum the normal equations; each gives one share of FEATURES ** 2 / 2 numbers.
-SHARES = 48
 
 
 @dataclass
@@ -79,8 +77,10 @@ def _arrays(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(training: DataFrame) -> Model | None:
-    """A model from rows (x, y), y being 0 or 1; None if they are all alike in y."""
-    training = training.coalesce(SHARES)
+    """A model from rows (x, y), y being 0 or 1; None if they are all alike in y.
+
+    Each task that reads a piece of the table gives one share of FEATURES ** 2 / 2 sums, so their number follows its bytes.
+    """
     n = len(NAMES)
     sums = training.agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(n)],
@@ -139,11 +139,15 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return in_arrow(rows, statistics, (fields + ", " if fields else "") + "x array<double>")
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and y of the labels that may be learned from."""
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    return known.select("doc_id", F.col("quality").cast("double").alias("y"))
+
+
 def train(numbers: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on labelled rows that are not held out; ``numbers`` has doc_id and x."""
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col("quality").cast("double").alias("y"))
-    return fit(landed(numbers.join(known, "doc_id").select("x", "y"), "training"))
+    return fit(landed(numbers.join(learnable(labels), "doc_id").select("x", "y"), "training"))
 
 
 def scored(numbers: DataFrame, model: Model | None) -> DataFrame:
@@ -169,9 +173,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject."""
-    numbers = landed(with_statistics(docs, ["doc_id"]), "statistics")
-    model = train(numbers, labels)
+    """The documents that the classifier does not reject.
+
+    Statistics for training are taken of labelled documents only, if their ids are few enough to be sent to the texts (all
+    that are labelled are learned from either way).
+    """
+    ids = learnable(labels).select("doc_id")
+    learned = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else docs
+    model = train(with_statistics(learned, ["doc_id"]), labels)
     if model is None:
         return docs
     fields = docs.schema

@@ -76,13 +76,24 @@ def hilbert_index(codes: list[Column], bits: int = BITS) -> Column:
 
 
 def _category_codes(df: DataFrame, column: str, bits: int) -> DataFrame:
-    """One row for each value: an equal-depth code from 1 that follows the order of the values."""
+    """One row for each value: an equal-depth code from 1 that follows the order of the values.
+
+    There may be as many values as rows (a source that is a URL), so what comes before a value is summed within ranges of the
+    order, and the sums of the ranges, one for each partition, are added.
+    """
     counts = df.groupBy(F.col(column).cast("string").alias("_h_value")).agg(F.count(F.lit(1)).alias("_h_n"))
-    counts = counts.where("_h_value IS NOT NULL")
-    before = F.sum("_h_n").over(Window.orderBy("_h_value").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_h_n").over(Window.partitionBy())
-    middle = F.coalesce(before, F.lit(0)) + F.col("_h_n") / 2
-    return counts.select("_h_value", (1 + F.floor(middle * ((1 << bits) - 2) / total)).cast("int").alias("_h_code"))
+    counts = counts.where("_h_value IS NOT NULL").repartitionByRange(shuffle_width(df.sparkSession), "_h_value")
+    ranged = counts.sortWithinPartitions("_h_value").withColumn("_h_at", F.monotonically_increasing_id())
+    ranged = landed(ranged, "values").withColumn("_h_part", F.shiftright("_h_at", 33))
+    sums = ranged.groupBy("_h_part").agg(F.sum("_h_n").alias("_h_sum"))
+    upto = Window.orderBy("_h_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range, not for each value
+    sums = sums.select("_h_part", F.coalesce(F.sum("_h_sum").over(upto), F.lit(0)).alias("_h_sum0"),
+                       F.sum("_h_sum").over(Window.partitionBy()).alias("_h_total"))
+    inside = Window.partitionBy("_h_part").orderBy("_h_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_h_sum0") + F.coalesce(F.sum("_h_n").over(inside), F.lit(0))
+    placed = ranged.join(small(sums, shuffle_width(df.sparkSession)), "_h_part")
+    code = 1 + F.floor((before + F.col("_h_n") / 2) * ((1 << bits) - 2) / F.col("_h_total"))
+    return placed.select("_h_value", code.cast("int").alias("_h_code"))
 
 
 def curve_order(df: DataFrame, categories: list[str], numbers: list[str], bits: int = BITS) -> DataFrame:

@@ -141,3 +141,16 @@ def test_extra_columns_of_any_name(spark):
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 14)) and queries.ORACLES.keys() <= queries.QUERIES.keys()
+
+
+def test_codes_of_many_values(spark):
+    values = [f"v{i * i % 997:04}" for i in range(3000)] + [None] * 40 + ["hot"] * 1500
+    frame = spark.createDataFrame([(v,) for v in values], "s string").repartition(7)
+    got = {r._h_value: r._h_code for r in sharding._category_codes(frame, "s", 5).collect()}
+    before, known = 0, sorted(v for v in values if v is not None)
+    assert set(got) == set(known)
+    for v, same in itertools.groupby(known):
+        n = len(list(same))
+        assert got[v] == 1 + int((before + n / 2) * 30 / len(known))
+        before += n
+    assert sharding._category_codes(frame.limit(0), "s", 5).count() == 0

@@ -53,6 +53,14 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
         assert a == b
 
 
+def test_kept_documents_are_those_predicted(spark, monkeypatch):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    good = sorted(r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted)
+    for bound in (quality.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", bound)
+        assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == good
+
+
 def test_pooling_adjacent_violators():
     levels = quality.pooled(np.array([1.0, 0.0, 2.0, 1.0, 3.0]), np.array([2.0, 2.0, 2.0, 2.0, 3.0]))
     assert np.allclose(levels, [0.25, 0.25, 0.75, 0.75, 1.0]) and (np.diff(levels) >= 0).all()
